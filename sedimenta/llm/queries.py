@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedimenta.llm import mixing
+from sedimenta.llm import mixing, simhash
 from sedimenta.llm._shared import table
 
 
@@ -13,5 +13,9 @@ def op2_mix_sources(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_mix_sources": op2_mix_sources}
+def op3_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=2)
+
+
+QUERIES = {"op2_mix_sources": op2_mix_sources, "op3_simhash": op3_simhash}
 ORACLES = {"op2_mix_sources": mixing.ORACLE}

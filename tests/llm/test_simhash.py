@@ -1,0 +1,88 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import xxhash
+
+from sedimenta.llm import simhash
+from sedimenta.llm.components import connected_components
+
+TEXTS = "doc_id long, text string"
+
+
+def plain_fingerprint(text, shingle=3):
+    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").translate(dict.fromkeys(range(9, 14), " ")).split(" ") if w]
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def plain_components(ids, fps, threshold):
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= threshold:
+                root[find(i)] = find(j)
+    least = {}
+    for i, x in enumerate(ids):
+        least[find(i)] = min(x, least.get(find(i), x))
+    return [least[find(i)] for i in range(len(ids))]
+
+
+def test_every_pair_within_the_threshold_meets_at_a_home():
+    rng = np.random.default_rng(1)
+    x = rng.integers(-(2**63), 2**63 - 1, 300)
+    y = x.copy()
+    for i in range(len(y)):
+        for b in rng.choice(64, i % 3, replace=False):
+            y[i] ^= np.int64(np.uint64(1) << np.uint64(b))
+    _, home = simhash.anchors(x, 0)
+    assert len(home) == len(x)
+    row, visit = simhash.anchors(y, 2)
+    visits = {}
+    for r, a in zip(row.tolist(), visit.tolist(), strict=True):
+        visits.setdefault(r, set()).add(a)
+    assert all(home[i] in visits[i] for i in range(len(x)))
+    assert sum(map(len, visits.values())) == len(visit)
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(40)]
+    base = [" ".join(rng.choices(vocabulary, k=120)) for _ in range(8)]
+    texts = []
+    for i in range(160):
+        words = rng.choice(base).split()
+        for _ in range(i % 3):
+            words[rng.randrange(len(words))] = "X"
+        texts.append(" ".join(words))
+    texts += [None, "", " \t\n", "one", "ONE", "one two", "a b c", "Été a b c", "long " * 70_000, "a b c d"]
+    rows = [(1000 - i, t) for i, t in enumerate(texts)] + [(1000, texts[0])]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, TEXTS)).collect()
+    fps = [plain_fingerprint(t) for _, t in rows]
+    want = plain_components([i for i, _ in rows], fps, 2)
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted(
+        (i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, want, strict=True)
+    )
+    assert any(f and a != b for f, (a, _), b in zip(fps, rows, want, strict=True))
+
+
+def test_empty_table_and_clashing_columns(spark):
+    assert simhash.near_duplicates(spark.createDataFrame([], TEXTS)).count() == 0
+    odd = spark.createDataFrame([(None, None, 1, 2, 3), (5, "", 1, 2, 3)], "doc_id long, text string, id int, fp int, root int")
+    assert [(r.component_id, r.n_links) for r in simhash.near_duplicates(odd).collect()] == [(5, 0), (5, 0)]
+
+
+def test_components_of_chains(spark):
+    chain = [(i, i + 1) for i in range(0, 40)] + [(100, 102), (101, 102), (7, 7), (200, 200)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
