@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedimenta.llm import mixing, simhash
+from sedimenta.llm import mixing, pii, simhash, urls
 from sedimenta.llm._shared import table
 
 
+def op1_pii(spark, sf_dir):
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op2_mix_sources(spark, sf_dir):
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -17,5 +21,10 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=2)
 
 
-QUERIES = {"op2_mix_sources": op2_mix_sources, "op3_simhash": op3_simhash}
+def op10_url_filter(spark, sf_dir):
+    judged = urls.judge_urls(table(spark, sf_dir, "pages"))
+    return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict", "score", "cut")
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_mix_sources": op2_mix_sources, "op3_simhash": op3_simhash, "op10_url_filter": op10_url_filter}
 ORACLES = {"op2_mix_sources": mixing.ORACLE}
