@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedimenta.llm import mixing, pii, simhash, urls
+from sedimenta.llm import maxscore, mixing, pii, secrets, simhash, urls
 from sedimenta.llm._shared import table
 
 
@@ -21,10 +21,25 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=2)
 
 
+def op5_maxscore(spark, sf_dir):
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64)
+
+
+def op8_secrets(spark, sf_dir):
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op10_url_filter(spark, sf_dir):
     judged = urls.judge_urls(table(spark, sf_dir, "pages"))
     return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict", "score", "cut")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_mix_sources": op2_mix_sources, "op3_simhash": op3_simhash, "op10_url_filter": op10_url_filter}
-ORACLES = {"op2_mix_sources": mixing.ORACLE}
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_simhash": op3_simhash,
+    "op5_maxscore": op5_maxscore,
+    "op8_secrets": op8_secrets,
+    "op10_url_filter": op10_url_filter,
+}
+ORACLES = {"op2_mix_sources": mixing.ORACLE, "op5_maxscore": maxscore.ORACLE}
