@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedimenta.llm import maxscore, mixing, pii, secrets, simhash, urls
+from sedimenta.llm import decontaminate, langid, licenses, maxscore, mixing, pii, secrets, simhash, urls
 from sedimenta.llm._shared import table
 
 
+def id_checksum(name):
+    """crc32 of an id as text, that of an empty string for null."""
+    return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")))
+
+
 def op1_pii(spark, sf_dir):
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
@@ -21,10 +26,25 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=2)
 
 
+def op4_licenses(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_maxscore(spark, sf_dir):
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64)
 
 
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_checksum("doc_id") % 4 == 2
+    model = langid.fit(docs, ~held_out)
+    return langid.identify(docs, model, keep={"held_out": held_out})
+
+
 def op8_secrets(spark, sf_dir):
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -38,7 +58,10 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_mix_sources": op2_mix_sources,
     "op3_simhash": op3_simhash,
+    "op4_licenses": op4_licenses,
     "op5_maxscore": op5_maxscore,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_langid": op7_langid,
     "op8_secrets": op8_secrets,
     "op10_url_filter": op10_url_filter,
 }
