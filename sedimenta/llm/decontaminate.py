@@ -157,6 +157,33 @@ def contaminated(
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "start", "words", "equal", "similarity")
 
 
+def without_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The rows of docs that overlap no benchmark item, all columns as they are; null texts stay."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    schema = docs.schema
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("text IS NOT NULL")
+    for index in _blocks(items, block_words):
+        docs = docs.mapInArrow(_sieve(spark.sparkContext.broadcast(index), schema.fieldNames().index(text_col)), schema)
+    return docs
+
+
+def _sieve(index, place):
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([not index.value.find(t.as_py()) for t in b.column(place)], pa.bool_()))
+
+    return sieve
+
+
 def _scanner(index):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedimenta.llm import decontaminate, langid, licenses, maxscore, mixing, pii, secrets, simhash, urls
+from sedimenta.llm import decontaminate, langid, licenses, maxscore, mixing, pii, secrets, simhash, toxicity, urls
 from sedimenta.llm._shared import table
 
 
@@ -49,6 +49,12 @@ def op8_secrets(spark, sf_dir):
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op9_toxicity(spark, sf_dir):
+    docs, held_out = table(spark, sf_dir, "documents"), id_checksum("doc_id") % 5 == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score_toxicity(docs, model, keep={"held_out": held_out})
+
+
 def op10_url_filter(spark, sf_dir):
     judged = urls.judge_urls(table(spark, sf_dir, "pages"))
     return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict", "score", "cut")
@@ -63,6 +69,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_langid": op7_langid,
     "op8_secrets": op8_secrets,
+    "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
 }
 ORACLES = {"op2_mix_sources": mixing.ORACLE, "op5_maxscore": maxscore.ORACLE}

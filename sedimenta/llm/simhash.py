@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm._shared import materialize, small_batches
+from sedimenta.llm._shared import bounded, materialize, small_batches
 from sedimenta.llm.components import connected_components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -160,3 +160,14 @@ def near_duplicates(
     return fps.join(labels, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"
     )
+
+
+def without_duplicates(docs: DataFrame, *, text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
+    """One row of each near-duplicate group, the first as docs lie, with all its columns.
+
+    Rows are numbered, so that null and repeated ids don't matter: of repeated rows, too, one stays.
+    """
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "dedup-rows")
+    labels = near_duplicates(rows.select("row", f"doc.`{text_col}`"), id_col="row", text_col=text_col, shingle=shingle, threshold=threshold)
+    gone = materialize(labels.filter("row <> component_id").select("row"), "dedup-gone")
+    return rows.join(bounded(gone, gone.count()), "row", "left_anti").select("doc.*")
