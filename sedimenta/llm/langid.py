@@ -165,12 +165,12 @@ def fit(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [features(t.as_py()) for t in b.column("text")]
-            arrays = [pa.array([list(f[k]) for f in found], pa.list_(pa.int32())) for k in (0, 1)]
+            arrays = [pa.array([f[k].astype("<i4").tobytes() for f in found], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column("lang"), *arrays], names=["lang", "at", "n"])
 
-    got = rows.mapInArrow(count, "lang string, at array<int>, n array<int>").collect()
-    sample = sorted(((r["lang"], np.array(r["at"], np.int64), np.array(r["n"], np.float64)) for r in got), key=lambda r: (r[0], len(r[1]), r[1].tolist(), r[2].tolist()))
-    return train(sample)
+    got = rows.mapInArrow(count, "lang string, at binary, n binary").collect()
+    rows = sorted((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in got)
+    return train([(lang, *(np.frombuffer(x, "<i4").astype(np.int64) for x in found)) for lang, *found in rows])
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:

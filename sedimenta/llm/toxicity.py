@@ -199,10 +199,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc
             words = [encoder(t.as_py()) for t in b.column("text")]
             short = [k for k, w in enumerate(words) if len(w) <= MAX_WORDS]
             arrays = [b.column(c).take(pa.array(short, pa.int64())) for c in ("y", "lang")]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([words[k].ravel() for k in short], pa.list_(pa.int32()))], names=["y", "lang", "words"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([words[k].astype("<i4").tobytes() for k in short], pa.binary())], names=["y", "lang", "words"])
 
-    got = rows.mapInArrow(encode, "y int, lang string, words array<int>").collect()
-    sample = sorted(((r["y"], r["lang"], np.array(r["words"], np.int64).reshape(-1, HASHES)) for r in got), key=lambda r: (xxhash.xxh64_intdigest(r[2].tobytes()), r[0], r[1] or ""))
+    got = rows.mapInArrow(encode, "y int, lang string, words binary").collect()
+    sample = sorted(((r["y"], r["lang"], np.frombuffer(r["words"], "<i4").reshape(-1, HASHES)) for r in got), key=lambda r: (xxhash.xxh64_intdigest(r[2].tobytes()), r[0], r[1] or ""))
     return train(sample)
 
 
