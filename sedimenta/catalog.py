@@ -525,3 +525,32 @@ def bronze_ingest_once(spark, sf_dir):
         bronze.run_bronze(spark, [root / "events.parquet"], root / "bronze")
     rows = VersionedTable(spark, root / "bronze").read()
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("trip_id").alias("ids"), F.sum((F.col("ingest_batch_id") == "events").cast("long")).alias("of_batch"))
+
+
+# ------------------------------------------------------- extensions beyond parity
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*)::BIGINT AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def rollup_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").rollup("o_orderstatus", "o_orderpriority")
+    return rounded(rows.agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), "total", digits=2)
+
+
+@query("SELECT k, 'both' AS side FROM (SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders) UNION ALL SELECT k, 'idle' FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders)")
+def set_operations(spark, sf_dir):
+    all_keys, used = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select("o_custkey")
+    return all_keys.intersect(used).withColumn("side", F.lit("both")).unionByName(all_keys.subtract(used).withColumn("side", F.lit("idle")))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def windowed_stream(spark, sf_dir):
+    """Tumbling windows of a stream with a watermark, in update mode: the last count of each window counts."""
+    root = scratch(spark)
+    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    rows.repartition(4).write.parquet(str(root / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(str(root / "in"))
+    counts = stream.withWatermark("ts", "60 days").groupBy(F.window("ts", "1 day"), "event_type").count()
+    write = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(str(root / "out"))
+    counts.writeStream.outputMode("update").option("checkpointLocation", str(root / "cp")).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    last = spark.read.parquet(str(root / "out")).groupBy("window", "event_type").agg(F.max_by("count", "batch").alias("n"))
+    return last.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
