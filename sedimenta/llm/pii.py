@@ -147,17 +147,20 @@ def train(described: DataFrame) -> tuple[float, dict[tuple[str, str], float], li
     return math.log((yes + 1) / (n - yes + 1)), weight, rel
 
 
-def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
-    """Every row of docs, its columns under "row", with base (spans by kind) and found (sorted spans, base and added).
+def find_pii(docs: DataFrame, *, text_col: str = "text", accept: float = ACCEPT, carry: list[str] | None = None) -> DataFrame:
+    """Every row of docs with base (spans by kind), found (sorted spans, base and added) and its columns under "row".
+
+    carry names the columns that are kept, all by default; leaving the text out spares writing it.
 
     Null text counts as empty and gives no spans. A candidate that touches a base span is not added; accepted
     candidates of different kinds may overlap. Repeated rows are judged alike; an empty table gives no rows. Columns
     of docs are nested, so that no name clashes.
     """
-    text = F.coalesce(F.col(f"row.{text_col}"), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    carried = (F.col(f"`{c}`") for c in (docs.columns if carry is None else carry))
+    rows = docs.select(F.struct(*carried).alias("row"), F.col(text_col).alias("text"))
     by_kind = base_spans(text)
-    rows = rows.select("row", F.struct(*(by_kind[k].alias(k) for k in BASE)).alias("base"), candidate_spans(text).alias("loose"))
+    rows = rows.select("row", "text", F.struct(*(by_kind[k].alias(k) for k in BASE)).alias("base"), candidate_spans(text).alias("loose"))
     all_base = F.concat(*(F.col(f"base.{k}") for k in BASE))
     rows = rows.select("row", "base", _described(text, F.concat(all_base, "loose")).alias("described"))
     rows = materialize(rows, "pii-spans")

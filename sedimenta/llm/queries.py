@@ -14,7 +14,7 @@ def id_checksum(name):
 
 
 def op1_pii(spark, sf_dir):
-    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
 
 def op2_mix_sources(spark, sf_dir):
