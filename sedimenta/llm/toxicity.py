@@ -29,6 +29,8 @@ PER_LABEL, MAX_WORDS = 2500, 4000
 EPOCHS, RATE, SEED = 6, 0.05, 7
 #: Parts of the sample that start the embeddings and that calibrate; the rest trains.
 START, CALIBRATE = 0.5, 0.2
+#: Part of the gap below the last value taken for toxic that still counts as toxic; below a half, doubt favours a text.
+MARGIN = 0.25
 #: Toxic calibration documents that a language needs for a threshold of its own.
 LEAST_OWN = 8
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -67,43 +69,42 @@ class Model:
     out: np.ndarray
     bias: float
     languages: dict[str, float] = field(default_factory=dict)
-    tables: list[list[np.ndarray]] = field(default_factory=list)
+    table: np.ndarray | None = None
+
+    def weights(self) -> np.ndarray:
+        """All positions of all filters side by side: (dimension, position and filter)."""
+        return np.concatenate([f[j] for f in self.filters for j in range(len(f))], axis=1)
 
     def fold(self) -> None:
-        """Turn each position of a filter into a table of responses by bucket."""
-        self.tables = [[(self.embedding @ f[j]).astype(np.float32) for j in range(len(f))] for f in self.filters]
+        """Turn the filters into one table: a bucket's row has its response at every position of every filter."""
+        self.table = (self.embedding @ self.weights()).astype(np.float32)
 
     def responses(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(greatest responses, where): over all windows, the text padded at its end by the widest filter less one."""
         padded = np.concatenate((words, np.zeros((WIDTHS[-1], HASHES), np.int64)))
-        pooled, where = [], []
-        for width, tables, bias in zip(WIDTHS, self.tables or self._plain(), self.biases, strict=True):
-            n = max(1, len(words))
-            r = sum(tables[j][padded[j : j + n, h]] for j in range(width) for h in range(HASHES))
-            at = r.argmax(axis=0)
-            pooled.append(np.maximum(r[at, np.arange(r.shape[1])] + bias, 0))
-            where.append(at)
+        if self.table is None:
+            each = self.embedding[padded].sum(axis=1) @ self.weights()
+        else:
+            each = self.table[padded[:, 0]]
+            for h in range(1, HASHES):
+                each += self.table[padded[:, h]]
+        n, at, pooled, where = max(1, len(words)), 0, [], []
+        for width, bias in zip(WIDTHS, self.biases, strict=True):
+            r = each[:n, at : at + FILTERS]
+            for j in range(1, width):
+                r = r + each[j : j + n, at + j * FILTERS : at + (j + 1) * FILTERS]
+            at += width * FILTERS
+            best = r.argmax(axis=0)
+            pooled.append(np.maximum(r[best, np.arange(FILTERS)] + bias, 0))
+            where.append(best)
         return np.concatenate(pooled), np.concatenate(where)
 
-    def _plain(self) -> list[list[np.ndarray]]:
-        return [[_Rows(self.embedding, f[j]) for j in range(len(f))] for f in self.filters]
-
     def score(self, words: np.ndarray) -> float:
         """Score of a text's buckets, 0 to 1; 0.5 is the threshold calibrated over all languages."""
         z = float(self.responses(words)[0] @ self.out + self.bias)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-class _Rows:
-    """A table of responses that is not yet folded: rows are computed as they are asked for."""
-
-    def __init__(self, embedding: np.ndarray, weights: np.ndarray) -> None:
-        self.embedding, self.weights = embedding, weights
-
-    def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        return self.embedding[at] @ self.weights
-
-
 def _start(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """z-scores of the log odds that a bucket occurs in a toxic rather than another text; equal texts count once."""
     counts, totals, seen = np.zeros((2, HASHES * BUCKETS + 1)), np.zeros(2), set()
@@ -119,7 +120,7 @@ def _start(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 
 
 def _threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """Least value to reach for label 1, of the greatest F1; half-way to the next lower value, of equal ones the middle."""
+    """Least value to reach for label 1, of the greatest F1 (of equal ones the middle), a part of the way to the next lower value."""
     order = np.argsort(-z, kind="stable")
     z, y = z[order], y[order]
     last = np.flatnonzero(np.append(z[:-1] > z[1:], True))
@@ -127,7 +128,7 @@ def _threshold(z: np.ndarray, y: np.ndarray) -> float:
     f1 = 2 * hits / (last + 1 + max(1, y.sum()))
     best = np.flatnonzero(f1 >= f1.max() - 1e-9)
     k = last[best[len(best) // 2]]
-    return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k] - 1)
+    return float(z[k] - MARGIN * (z[k] - z[k + 1])) if k + 1 < len(z) else float(z[k] - 1)
 
 
 def train(sample: list[tuple[int, str | None, np.ndarray]]) -> Model:
