@@ -3,8 +3,9 @@
 Subwords are the character n-grams of every word, its edges marked. The mean of their embeddings goes through a
 linear softmax; both are trained by stochastic gradient descent in numpy on a bounded sample. As the model is
 linear in the embeddings, embedding and softmax fold into one table of logits by bucket, and a text is scored by
-summing rows of it. A temperature and the score below which a prediction is rejected are calibrated on a part
-of the sample that training doesn't see.
+summing rows of it. Each sampled text also gives a fragment of a few words, so that short texts are learned. A
+temperature and the score below which a prediction is rejected are calibrated on a part of the sample that
+training doesn't see.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ MAX_LANGUAGES, PER_LANGUAGE, MAX_SAMPLE = 200, 400, 2400
 EPOCHS, RATE = 12, 0.5
 #: Part of the sample kept for calibration, and the accuracy that accepted predictions shall have there.
 CALIBRATION, ACCURACY = 0.25, 0.98
+#: Most words of a fragment.
+FRAGMENT = 16
 #: Code points of a text handled at a time.
 _CHUNK = 1 << 20
 _LETTERS: np.ndarray | None = None
@@ -77,6 +81,14 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, total[at]
 
 
+def fragment(text: str | None) -> str:
+    """Up to FRAGMENT words from some place of a text, both chosen by its hash."""
+    words = (text or "").split()
+    h = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"))
+    start = h % max(1, len(words))
+    return " ".join(words[start : start + 1 + (h >> 32) % FRAGMENT])
+
+
 @dataclass
 class Model:
     """Languages, logits by bucket, bias, temperature and the least score that is accepted."""
@@ -136,7 +148,7 @@ def train(sample: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mo
     if held and languages:
         logits = np.array([share @ model.table[at] + bias for _, at, share in held])
         truth = np.array([y for y, _, _ in held])
-        grid = np.geomspace(0.05, 20, 60)
+        grid = np.geomspace(0.05, 20, 80)
         loss = [-np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
         p = softmax(logits / model.temperature)
@@ -164,9 +176,10 @@ def fit(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [features(t.as_py()) for t in b.column("text")]
+            texts = b.column("text").to_pylist()
+            found = [features(t) for t in texts] + [features(fragment(t)) for t in texts]
             arrays = [pa.array([f[k].astype("<i4").tobytes() for f in found], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), *arrays], names=["lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(b.column("lang").to_pylist() * 2, pa.string()), *arrays], names=["lang", "at", "n"])
 
     got = rows.mapInArrow(count, "lang string, at binary, n binary").collect()
     rows = sorted((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in got)
