@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose fingerprints link."""
+    """One document of each group of texts about 0.8 alike or more, by 512-bit fingerprints."""
     return simhash.without_duplicates(docs)
 
 

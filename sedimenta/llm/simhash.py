@@ -29,14 +29,18 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _CHUNK = 1 << 16
 #: Bits of the code blocks, from bit 0 of the fingerprint; generator polynomials of the Golay and the Hamming code.
 BLOCKS = ((23, 0b101011100011, 3), (23, 0b101011100011, 3), (15, 0b10011, 1))
+#: For similarity rather than bits: 64-bit words of a fingerprint, tables of 31 bits, the Hamming code of each.
+WIDE, TABLES, TABLE_BLOCK = 8, 16, ((31, 0b100101, 1),)
+#: Part of the bits in which texts may differ whose five-word shingles are 0.8 alike: what an inserted or cut part
+#: of a fifth does to three-word shingles (cosine 0.89); scattered edits differ in less.
+DIFFERING = 0.15
 
 
-def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
-    """64-bit SimHash of a text's word shingles, A-Z lower-cased; 0 for a text without words."""
-    data = (text or "").encode("utf-8", "surrogatepass").lower()
-    words = _WORD.findall(data)
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's word shingles, A-Z lower-cased, a chunk at a time; of all words if they are fewer."""
+    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     starts = np.concatenate(([0], np.cumsum(lengths)))
@@ -45,12 +49,43 @@ def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
     ends = (starts[width : width + n] - 1).tolist()
     starts = starts[:n].tolist()
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
     for k in range(0, n, _CHUNK):
         pairs = zip(starts[k : k + _CHUNK], ends[k : k + _CHUNK], strict=True)
-        h = np.array([digest(joined[a:b], seed) for a, b in pairs], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little", signed=True)
+        yield np.array([digest(joined[a:b], seed) for a, b in pairs], np.uint64)
+
+
+def _majority(hashes: Iterator[np.ndarray], words: int) -> np.ndarray:
+    """Bits, lowest first, that over half of the hashes set; hashes have one 64-bit word, mixed to as many as asked."""
+    counts, n = np.zeros(64 * words, np.int64), 0
+    for h in hashes:
+        n += len(h)
+        wide = np.stack([h if k == 0 else _mixed(h, k) for k in range(words)], axis=1)
+        bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255  # sums of 255 bits fit a byte
+        counts += bits[:whole].reshape(-1, 255, 64 * words).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        counts += bits[whole:].sum(axis=0, dtype=np.uint8)
+    return counts * 2 > n if n else np.zeros(64 * words, bool)
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Another 64 bits of a hash, by an odd step and a multiply-shift mix."""
+    h = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
+    """64-bit SimHash of a text's word shingles as a signed integer; 0 for a text without words."""
+    bits = _majority(shingle_hashes(text, shingle, seed), 1)
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little", signed=True)
+
+
+def wide_fingerprint(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """WIDE words of 64 bits over the distinct shingles, so that repeated lines don't outweigh the rest."""
+    distinct = np.unique(np.concatenate([*shingle_hashes(text, shingle, seed), np.empty(0, np.uint64)]))
+    bits = _majority((distinct[k : k + _CHUNK] for k in range(0, len(distinct), _CHUNK)), WIDE)
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -92,10 +127,10 @@ def _errors(length: int, generator: int, radius: int, extra: int) -> list[tuple[
     return out
 
 
-def anchors(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(fps: np.ndarray, threshold: int, code: tuple[tuple[int, int, int], ...] = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
     """(position in fps, anchor) for every anchor within the covering radius plus threshold, by block."""
     blocks, shift = [], 0
-    for length, generator, radius in BLOCKS:
+    for length, generator, radius in code:
         words = fps >> shift & ((1 << length) - 1)
         blocks.append((shift, words, _remainder(words, length, generator), _errors(length, generator, radius, threshold)))
         shift += length
@@ -162,12 +197,70 @@ def near_duplicates(
     )
 
 
-def without_duplicates(docs: DataFrame, *, text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
-    """One row of each near-duplicate group, the first as docs lie, with all its columns.
+def _wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(row, w0 .. w7) of every document."""
+    small_batches(docs.sparkSession)
+
+    def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wide = np.stack([wide_fingerprint(t.as_py(), shingle) for t in b.column("text")]) if len(b) else np.empty((0, WIDE), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(wide[:, k]) for k in range(WIDE))], names=["row", *_words()])
+
+    rows = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(batch, ", ".join(["row long", *(f"{w} long" for w in _words())]))
+
+
+def _words() -> list[str]:
+    return [f"w{k}" for k in range(WIDE)]
+
+
+def _at_tables(nodes: DataFrame, threshold: int) -> DataFrame:
+    """(key, node) for the anchors of all tables within covering radius plus threshold; a key is a table and an anchor."""
+
+    def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wide = np.stack([b.column(w).to_numpy(zero_copy_only=False) for w in _words()], axis=1)
+            bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+            node, length = b.column("node").to_numpy(zero_copy_only=False), TABLE_BLOCK[0][0]
+            for t in range(TABLES):
+                own = bits[:, t * length : (t + 1) * length] @ (1 << np.arange(length, dtype=np.int64))
+                row, anchor = anchors(own, threshold, TABLE_BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor | t << length), pa.array(node[row])], names=["key", "node"])
+
+    return nodes.mapInArrow(batch, "key long, node long")
+
+
+def similar_groups(docs: DataFrame, *, id_col: str, text_col: str = "text", shingle: int = 3, differing: float = DIFFERING) -> DataFrame:
+    """(node, root) of the documents that a smaller id makes redundant, by estimated similarity; ids are unique longs.
+
+    Fingerprints of 512 bits estimate the angle between texts: they link if at most the given part of the bits
+    differs. Links are sought in 16 tables of 31 bits: a fingerprint visits the anchors within covering radius
+    plus one bit of each table, and is compared at each with one whose home it is, the least of them, so that no
+    anchor compares all its pairs. Equal fingerprints are one node throughout. Unlike near_links this may miss a
+    link: of texts that differ in 10 % of their bits it finds 95 %, of closer ones nearly all.
+    """
+    fps = materialize(_wide_fingerprints(docs, id_col, text_col, shingle), "wide-fp")
+    nodes = materialize(fps.groupBy(*_words()).agg(F.min("row").alias("node")), "wide-nodes")
+    reps = materialize(_at_tables(nodes, 0).groupBy("key").agg(F.min("node").alias("rep")), "wide-homes")
+    pairs = _at_tables(nodes, 1).join(reps, "key").filter("node <> rep")
+    pairs = materialize(pairs.select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct(), "wide-pairs")
+    one = nodes.select(F.col("node").alias("a"), *(F.col(w).alias(f"a{w}") for w in _words()))
+    two = nodes.select(F.col("node").alias("b"), *(F.col(w).alias(f"b{w}") for w in _words()))
+    apart = sum(F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in _words())
+    links = pairs.join(one, "a").join(two, "b").filter(apart <= int(64 * WIDE * differing)).select("a", "b")
+    roots = connected_components(materialize(links, "wide-links")).filter("node <> root")
+    members = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = materialize(members.select(*_words(), "root"), "wide-roots")
+    return fps.join(members, _words()).filter("row <> root").select(F.col("row").alias("node"), "root")
+
+
+def without_duplicates(docs: DataFrame, *, text_col: str = "text", differing: float = DIFFERING) -> DataFrame:
+    """One row of each group of similar texts, the first as docs lie, with all its columns.
 
-    Rows are numbered, so that null and repeated ids don't matter: of repeated rows, too, one stays.
+    Rows are numbered, so that null and repeated ids don't matter: of repeated rows, too, one stays. Texts that
+    are null or have no word are alike. Other columns are kept as they are; an empty table gives no rows.
     """
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "dedup-rows")
-    labels = near_duplicates(rows.select("row", f"doc.`{text_col}`"), id_col="row", text_col=text_col, shingle=shingle, threshold=threshold)
-    gone = materialize(labels.filter("row <> component_id").select("row"), "dedup-gone")
+    texts = rows.select("row", F.col(f"doc.`{text_col}`").alias("text"))
+    gone = materialize(similar_groups(texts, id_col="row", differing=differing).select(F.col("node").alias("row")), "dedup-gone")
     return rows.join(bounded(gone, gone.count()), "row", "left_anti").select("doc.*")

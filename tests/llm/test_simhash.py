@@ -38,6 +38,22 @@ def plain_components(ids, fps, threshold):
     return [least[find(i)] for i in range(len(ids))]
 
 
+def plain_groups(texts):
+    """Group of each text by linking all whose distinct shingles' wide fingerprints differ in few bits."""
+    wide = np.stack([simhash.wide_fingerprint(t, 3) for t in texts]).view(np.uint64)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in np.flatnonzero(np.bitwise_count(wide[:i] ^ wide[i]).sum(axis=1) <= 512 * simhash.DIFFERING):
+            root[find(i)] = find(int(j))
+    return [find(i) for i in range(len(texts))]
+
+
 def test_every_pair_within_the_threshold_meets_at_a_home():
     rng = np.random.default_rng(1)
     x = rng.integers(-(2**63), 2**63 - 1, 300)
@@ -86,3 +102,39 @@ def test_components_of_chains(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 102), (101, 102), (7, 7), (200, 200)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
+
+
+def test_wide_fingerprints_estimate_the_angle():
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    a = rng.sample(words, 1000)
+    got = []
+    for share in (0, 0.02, 0.2):
+        b = [w if rng.random() > share else "x" for w in a]
+        one, two = (simhash.wide_fingerprint(" ".join(x), 3).view(np.uint64) for x in (a, b))
+        common = len({tuple(a[i : i + 3]) for i in range(998)} & {tuple(b[i : i + 3]) for i in range(998)})
+        want = np.arccos(min(1, common / 998)) / np.pi * 512
+        got.append(abs(int(np.bitwise_count(one ^ two).sum()) - want))
+    assert max(got) < 40
+    text = "One two  three four"
+    hashes = np.concatenate(list(simhash.shingle_hashes(text, 3, 42)))
+    assert hashes.tolist() == [xxhash.xxh64_intdigest(g, 42) for g in (b"one two three", b"two three four")]
+
+
+def test_similar_texts_go_and_others_stay(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklm", k=5)) for _ in range(n))
+    base = [prose(rng.randrange(60, 200)) for _ in range(60)]
+    near = []
+    for t in base[:30]:
+        words = t.split()
+        words[rng.randrange(len(words))] = "changed"
+        near.append(" ".join(words))
+    half = [f"{prose(60)} {' '.join(t.split()[:40])}" for t in base[30:40]]
+    rows = [(i, t, "s", i) for i, t in enumerate([*base, *near, *half, base[0], base[0], "", None, " "])] + [(None, base[1], "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, doc int")
+    kept = simhash.without_duplicates(docs).collect()
+    texts = [r.text or "" for r in kept]
+    assert set(base) - set(texts) == set() and set(half) <= set(texts) and len(set(texts) & set(near)) <= 3
+    assert texts.count(base[0]) == texts.count(base[1]) == 1 and sum(not t.strip() for t in texts) == 1
+    assert kept[0].row == "s" and simhash.without_duplicates(docs.limit(0)).count() == 0
