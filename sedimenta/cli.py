@@ -39,11 +39,12 @@ def parser() -> argparse.ArgumentParser:
     add("audit", "prove what merges did", silver=silver, history={"type": int, "default": 100}, update_version={"type": int}, insert_version={"type": int}, trip_id={}, schema_column={"default": "surcharge_fee"}, output={})
     add("pipeline", "run layers in order", stages={"nargs": "+", "choices": ["bronze", "silver", "gold"], "default": ["bronze", "silver", "gold"]}, audit={"action": "store_true"})
     add("benchmark", "compare physical states", silver=silver, runs={"type": int, "default": 5}, output={"default": str(config.EVIDENCE / "benchmark.json")})
+    add("rerun", "the point query on two versions", path=silver, versions={"type": int, "nargs": 2, "required": True}, zone={"type": int, "default": 132})
     add("event", "append a change event to Bronze", mode={"required": True, "choices": events.MODES}, trip_id={}, bronze=bronze_at, silver=silver)
     add("check", "reconcile the tables", bronze=bronze_at, silver=silver, rejected={"default": str(config.REJECTED)})
     add("outliers", "profile distributions", silver=silver)
     add("zero-duration", "profile trips that take no time", silver=silver)
-    add("top-groups", "greatest Gold groups", gold={"default": str(config.GOLD)})
+    add("top-groups", "greatest Gold groups, and one zone by hour", gold={"default": str(config.GOLD)}, zone={"type": int, "default": 132})
     add("lookup", "one trip at two versions", trip={"required": True}, before={"type": int, "required": True}, after={"type": int, "required": True}, path=silver)
     add("file-stats", "bounds by file", path=silver, versions={"type": int, "nargs": "+", "required": True}, column={"default": "PULocationID"}, value={"type": int}, limit={"type": int, "default": 20})
     add("export-history", "history and batch audit as JSON", silver=silver, audit={"default": str(config.BATCH_AUDIT)}, output={"default": str(config.EVIDENCE / "silver_history.json")})
@@ -64,6 +65,19 @@ def _file_stats(a: argparse.Namespace) -> None:
             print(f"{a.column} = {a.value}: {skipping.files_to_read(skipping.active_files(a.path, version), a.column, (a.value, a.value))}/{len(rows)} files to read")
 
 
+def _check(spark, a: argparse.Namespace) -> dict:
+    """Reconciliation, rows by source and by reason, the last commits, files and bytes of Silver."""
+    bronze_rows, silver, rejected = (VersionedTable(spark, p) for p in (a.bronze, a.silver, a.rejected))
+    counts = lambda df: {str(r[0]): r["count"] for r in df.collect()}
+    return {
+        **profile.reconcile(bronze_rows.read(), silver.read(), rejected.read()),
+        "sources": counts(profile.count_by(silver.read(), "record_source")),
+        "reasons": counts(profile.reason_histogram(rejected.read())),
+        "commits": silver.history(5),
+        "table": silver.detail(),
+    }
+
+
 def main(argv: Sequence[str] | None = None) -> int:
     """0 if all went well; 1 if a stage failed, 2 if the audit could not verify."""
     a = parser().parse_args(argv)
@@ -73,6 +87,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         return 0
     spark = create_spark(f"sedimenta-{a.command}", a.master)
     read = lambda path: VersionedTable(spark, path).read()
+    rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     try:
         if a.command == "pipeline":
             results = pipeline.run_pipeline(spark, [*a.stages, *["audit"] * a.audit])
@@ -89,10 +104,11 @@ def main(argv: Sequence[str] | None = None) -> int:
             "gold": lambda: gold.run_gold(spark, a.silver, a.gold, a.silver_version),
             "benchmark": lambda: benchmark.main_benchmark(spark, a.silver, a.runs, a.output),
             "event": lambda: events.append_event(spark, a.mode, a.trip_id, a.bronze, a.silver),
-            "check": lambda: profile.reconcile(read(a.bronze), read(a.silver), read(a.rejected)) | {"reasons": [r.asDict() for r in profile.reason_histogram(read(a.rejected)).collect()]},
+            "check": lambda: _check(spark, a),
             "outliers": lambda: profile.profile_outliers(read(a.silver)).first().asDict(),
-            "zero-duration": lambda: [r.asDict() for r in profile.zero_duration_profile(read(a.silver)).collect()],
-            "top-groups": lambda: [r.asDict() for r in profile.top_groups(read(a.gold)).collect()],
+            "zero-duration": lambda: rows(profile.zero_duration_profile(read(a.silver))),
+            "rerun": lambda: benchmark.rerun(spark, a.path, tuple(a.versions), a.zone),
+            "top-groups": lambda: {"top": rows(profile.top_groups(read(a.gold))), "zone": rows(profile.zone_by_hour(read(a.gold), a.zone))},
             "lookup": lambda: audit.point_lookup(spark, a.path, a.trip, (a.before, a.after)),
             "export-history": lambda: audit.export_history(spark, a.silver, a.audit, a.output),
         }

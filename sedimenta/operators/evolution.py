@@ -17,10 +17,11 @@ FLAG = "sedimenta.schema.autoMerge"
 def check_evolution(source: DataFrame, target: DataFrame, protected: tuple[str, ...] = PROTECTED) -> list[str]:
     """Sorted columns that source adds to target.
 
-    TypeError if a shared column has another type; then ValueError if source lacks a protected column.
+    TypeError if a shared column has another type, whatever may be null in it; then ValueError if source lacks a
+    protected column.
     """
-    ours, theirs = ({f.name: f.dataType for f in df.schema.fields} for df in (source, target))
-    changed = [f"{n}: {theirs[n].simpleString()} -> {t.simpleString()}" for n, t in ours.items() if n in theirs and theirs[n] != t]
+    ours, theirs = ({f.name: f.dataType.simpleString() for f in df.schema.fields} for df in (source, target))
+    changed = [f"{n}: {theirs[n]} -> {t}" for n, t in ours.items() if n in theirs and theirs[n] != t]
     if changed:
         raise TypeError(f"Column types may not change: {', '.join(sorted(changed))}")
     lost = [n for n in protected if n not in ours]
