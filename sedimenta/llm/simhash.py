@@ -12,13 +12,15 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm._shared import bounded, materialize, small_batches
@@ -29,11 +31,13 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _CHUNK = 1 << 16
 #: Bits of the code blocks, from bit 0 of the fingerprint; generator polynomials of the Golay and the Hamming code.
 BLOCKS = ((23, 0b101011100011, 3), (23, 0b101011100011, 3), (15, 0b10011, 1))
-#: For similarity rather than bits: 64-bit words of a fingerprint, tables of 31 bits, the Hamming code of each.
-WIDE, TABLES, TABLE_BLOCK = 8, 16, ((31, 0b100101, 1),)
-#: Part of the bits in which texts may differ whose five-word shingles are 0.8 alike: what an inserted or cut part
-#: of a fifth does to three-word shingles (cosine 0.89); scattered edits differ in less.
-DIFFERING = 0.15
+#: For similarity rather than bits: least 64-bit words of a fingerprint, least tables, the Hamming code of each.
+WORDS, TABLES, TABLE_CODE = 8, 16, ((31, 0b100101, 1),)
+#: Tables that are searched first, on all texts; the rest see only the texts that those leave apart.
+FIRST = 4
+#: Part of the bits in which texts may differ whose five-word shingles are 0.8 alike. Scattered edits that leave
+#: that much change three-word shingles to a cosine of 0.94, 11 % of the bits; the rest is room for chance.
+DIFFERING = 0.137
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
@@ -81,10 +85,10 @@ def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little", signed=True)
 
 
-def wide_fingerprint(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
-    """WIDE words of 64 bits over the distinct shingles, so that repeated lines don't outweigh the rest."""
+def wide_fingerprint(text: str | None, shingle: int, words: int = WORDS, seed: int = 42) -> np.ndarray:
+    """Words of 64 bits over the distinct shingles, so that repeated lines don't outweigh the rest."""
     distinct = np.unique(np.concatenate([*shingle_hashes(text, shingle, seed), np.empty(0, np.uint64)]))
-    bits = _majority((distinct[k : k + _CHUNK] for k in range(0, len(distinct), _CHUNK)), WIDE)
+    bits = _majority((distinct[k : k + _CHUNK] for k in range(0, len(distinct), _CHUNK)), words)
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
@@ -197,61 +201,86 @@ def near_duplicates(
     )
 
 
-def _wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(row, w0 .. w7) of every document."""
+def layout(n: int) -> tuple[int, int, int]:
+    """(bits beside the code, tables, words) for n texts: eight anchors or more a text, and the same recall at any n.
+
+    Bits that have to be equal let one of nine near copies less pass each, which more tables make up for.
+    """
+    extra = max(0, math.ceil(math.log2(max(1, n) / 2**23)))
+    tables = math.ceil(TABLES / 0.89**extra)
+    return extra, tables, max(WORDS, -(-tables * (TABLE_CODE[0][0] + extra) // 64))
+
+
+def _names(words: int) -> list[str]:
+    return [f"w{k}" for k in range(words)]
+
+
+def _wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
+    """(row, w0, w1 ...) of every document."""
     small_batches(docs.sparkSession)
+    names = _names(words)
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wide = np.stack([wide_fingerprint(t.as_py(), shingle) for t in b.column("text")]) if len(b) else np.empty((0, WIDE), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(wide[:, k]) for k in range(WIDE))], names=["row", *_words()])
+            wide = np.array([wide_fingerprint(t.as_py(), shingle, words) for t in b.column("text")], np.int64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(wide[:, k]) for k in range(words))], names=["row", *names])
 
     rows = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(batch, ", ".join(["row long", *(f"{w} long" for w in _words())]))
+    return rows.mapInArrow(batch, ", ".join(["row long", *(f"{w} long" for w in names)]))
 
 
-def _words() -> list[str]:
-    return [f"w{k}" for k in range(WIDE)]
-
-
-def _at_tables(nodes: DataFrame, threshold: int) -> DataFrame:
-    """(key, node) for the anchors of all tables within covering radius plus threshold; a key is a table and an anchor."""
+def _at_tables(nodes: DataFrame, threshold: int, tables: range, extra: int, words: int) -> DataFrame:
+    """(key, node) for the anchors of tables within covering radius plus threshold; a key is table, anchor and extra bits."""
+    length, names = TABLE_CODE[0][0], _names(words)
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wide = np.stack([b.column(w).to_numpy(zero_copy_only=False) for w in _words()], axis=1)
+            wide = np.stack([b.column(w).to_numpy(zero_copy_only=False) for w in names], axis=1)
             bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-            node, length = b.column("node").to_numpy(zero_copy_only=False), TABLE_BLOCK[0][0]
-            for t in range(TABLES):
-                own = bits[:, t * length : (t + 1) * length] @ (1 << np.arange(length, dtype=np.int64))
-                row, anchor = anchors(own, threshold, TABLE_BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor | t << length), pa.array(node[row])], names=["key", "node"])
+            node = b.column("node").to_numpy(zero_copy_only=False)
+            for t in tables:
+                own = bits[:, t * (length + extra) : (t + 1) * (length + extra)] @ (1 << np.arange(length + extra, dtype=np.int64))
+                row, anchor = anchors(own & ((1 << length) - 1), threshold, TABLE_CODE)
+                key = anchor | (own[row] >> length << length) | (t << (length + extra))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[row])], names=["key", "node"])
 
     return nodes.mapInArrow(batch, "key long, node long")
 
 
+def _similar_links(nodes: DataFrame, tables: range, extra: int, words: int, differing: float) -> DataFrame:
+    """(a, b) of nodes that meet in one of the tables and differ in at most the given part of their bits."""
+    names = _names(words)
+    reps = materialize(_at_tables(nodes, 0, tables, extra, words).groupBy("key").agg(F.min("node").alias("rep")), "wide-homes")
+    pairs = _at_tables(nodes, 1, tables, extra, words).join(reps, "key").filter("node <> rep")
+    pairs = materialize(pairs.select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct(), "wide-pairs")
+    one, two = (nodes.select(F.col("node").alias(x), *(F.col(w).alias(f"{x}{w}") for w in names)) for x in "ab")
+    apart = reduce(Column.__add__, (F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in names))
+    return materialize(pairs.join(one, "a").join(two, "b").filter(apart <= int(64 * words * differing)).select("a", "b"), "wide-links")
+
+
 def similar_groups(docs: DataFrame, *, id_col: str, text_col: str = "text", shingle: int = 3, differing: float = DIFFERING) -> DataFrame:
     """(node, root) of the documents that a smaller id makes redundant, by estimated similarity; ids are unique longs.
 
-    Fingerprints of 512 bits estimate the angle between texts: they link if at most the given part of the bits
-    differs. Links are sought in 16 tables of 31 bits: a fingerprint visits the anchors within covering radius
-    plus one bit of each table, and is compared at each with one whose home it is, the least of them, so that no
-    anchor compares all its pairs. Equal fingerprints are one node throughout. Unlike near_links this may miss a
-    link: of texts that differ in 10 % of their bits it finds 95 %, of closer ones nearly all.
+    Fingerprints of 512 bits or more over distinct shingles estimate the angle between texts: they link if at
+    most the given part of the bits differs. Links are sought in tables of 31 bits and more: a fingerprint
+    visits the anchors within covering radius plus one bit of each table, and is compared at each with the least
+    fingerprint whose home it is, so that no anchor compares all its pairs. A few tables come first; the others
+    see one text of each group found so far, so that a large group isn't searched over and over. Equal
+    fingerprints are one node throughout. Unlike near_links this may miss a link: of texts that differ in 10 %
+    of their bits it finds 95 %, of closer ones nearly all.
     """
-    fps = materialize(_wide_fingerprints(docs, id_col, text_col, shingle), "wide-fp")
-    nodes = materialize(fps.groupBy(*_words()).agg(F.min("row").alias("node")), "wide-nodes")
-    reps = materialize(_at_tables(nodes, 0).groupBy("key").agg(F.min("node").alias("rep")), "wide-homes")
-    pairs = _at_tables(nodes, 1).join(reps, "key").filter("node <> rep")
-    pairs = materialize(pairs.select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct(), "wide-pairs")
-    one = nodes.select(F.col("node").alias("a"), *(F.col(w).alias(f"a{w}") for w in _words()))
-    two = nodes.select(F.col("node").alias("b"), *(F.col(w).alias(f"b{w}") for w in _words()))
-    apart = sum(F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in _words())
-    links = pairs.join(one, "a").join(two, "b").filter(apart <= int(64 * WIDE * differing)).select("a", "b")
-    roots = connected_components(materialize(links, "wide-links")).filter("node <> root")
+    extra, tables, words = layout(docs.count())
+    names = _names(words)
+    fps = materialize(_wide_fingerprints(docs, id_col, text_col, shingle, words), "wide-fp")
+    nodes = materialize(fps.groupBy(*names).agg(F.min("row").alias("node")), "wide-nodes")
+    links = _similar_links(nodes, range(FIRST), extra, words, differing)
+    inner = connected_components(links).filter("node <> root").select("node")
+    apart = materialize(nodes.join(materialize(inner, "wide-inner"), "node", "left_anti"), "wide-apart")
+    links = links.unionByName(_similar_links(apart, range(FIRST, tables), extra, words, differing))
+    roots = connected_components(links).filter("node <> root")
     members = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = materialize(members.select(*_words(), "root"), "wide-roots")
-    return fps.join(members, _words()).filter("row <> root").select(F.col("row").alias("node"), "root")
+    members = materialize(members.select(*names, "root"), "wide-roots")
+    return fps.join(members, names).filter("row <> root").select(F.col("row").alias("node"), "root")
 
 
 def without_duplicates(docs: DataFrame, *, text_col: str = "text", differing: float = DIFFERING) -> DataFrame:

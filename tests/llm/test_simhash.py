@@ -138,3 +138,20 @@ def test_similar_texts_go_and_others_stay(spark):
     assert set(base) - set(texts) == set() and set(half) <= set(texts) and len(set(texts) & set(near)) <= 3
     assert texts.count(base[0]) == texts.count(base[1]) == 1 and sum(not t.strip() for t in texts) == 1
     assert kept[0].row == "s" and simhash.without_duplicates(docs.limit(0)).count() == 0
+
+
+def test_layout_keeps_anchors_ahead_of_texts():
+    assert simhash.layout(0) == simhash.layout(10**6) == (0, 16, 8)
+    for n in (10**8, 10**10):
+        extra, tables, words = simhash.layout(n)
+        assert 2 ** (26 + extra) >= 8 * n and tables * 0.89**extra >= 16 and tables * (31 + extra) <= 64 * words
+        assert (tables << (31 + extra)) < 2**63
+
+
+def test_extra_bits_keep_the_groups(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "layout", lambda n: (3, 23, 13))
+    rng = random.Random(4)
+    base = [" ".join("".join(rng.choices("abcdefghijklm", k=5)) for _ in range(150)) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate([*base, *(f"{t} end" for t in base)])]
+    got = simhash.similar_groups(spark.createDataFrame(rows, TEXTS), id_col="doc_id").collect()
+    assert sorted((r.node, r.root) for r in got) == [(i + 12, i) for i in range(12)]
