@@ -100,7 +100,9 @@ def find_secrets(
     mine = values.select("row", "span", "hash").join(counts, "hash")
     is_live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
     judged = mine.groupBy("row").agg(F.collect_list(F.when(is_live, F.col("span"))).alias("live_all"))
-    rows = rows.join(judged, "row", "left")
+    # most documents hold no candidate and need no join
+    busy = rows.filter(F.size("all") > 0).join(judged, "row", "left")
+    rows = rows.filter(F.size("all") == 0).withColumn("live_all", F.lit(None).cast(f"array<{SPAN}>")).unionByName(busy)
     live = F.coalesce("live_all", F.array().cast(f"array<{SPAN}>"))
 
     def apart(s: Column) -> Column:
