@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ MARGIN = 0.25
 LEAST_OWN = 8
 _TOKEN = re.compile(r"[^\W\d_]+")
 #: Words whose buckets a worker remembers.
-_MEMORY = 500_000
+_MEMORY = 200_000
 
 
 class Encoder:
@@ -217,7 +217,8 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
     small_batches(docs.sparkSession)
     keep = keep or {}
     rows = docs.select(F.col(id_col), *(c.alias(k) for k, c in keep.items()), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # scoring needs the folded table alone
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, embedding=model.embedding[:1]))
     names = rows.columns[:-2]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
