@@ -128,7 +128,7 @@ class Scanner:
             template = self.words[k]
             for first, last in self.regions(at, len(template)):
                 self._cover(words, max(0, first - len(template)), min(len(words), last + len(template) + 1), k, out)
-        return sorted(out, key=lambda r: (r[2], r[0]))
+        return sorted(_apart(out), key=lambda r: (r[2], r[0]))
 
     def _cover(self, words: list[str], low: int, high: int, k: int, out: list) -> None:
         """Alignments of a template in words[low:high]; where it occurs more than once, the parts between are searched too."""
@@ -149,6 +149,25 @@ class Scanner:
                 stack += [(low, middle + len(template) // 2), (middle - len(template) // 2, high)]
 
 
+def _apart(found: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int, int]]:
+    """Of notices that share more than half of the shorter one's words, the one with more aligned words."""
+    kept: list[tuple[str, float, int, int, int]] = []
+    starts: list[int] = []
+    longest = max((r[3] - r[2] for r in found), default=0)
+    for r in sorted(found, key=lambda r: (-r[4], -r[1], r[2], r[0])):
+        near = _between(kept, starts, r[2] - longest, r[3])
+        if all(2 * (min(r[3], k[3]) - max(r[2], k[2])) <= min(r[3] - r[2], k[3] - k[2]) for k in near):
+            at = bisect_left(starts, r[2])
+            starts.insert(at, r[2])
+            kept.insert(at, r)
+    return kept
+
+
+def _between(kept: list, starts: list[int], low: int, high: int) -> list:
+    """Kept notices that start in low..high; starts is sorted like kept."""
+    return kept[bisect_left(starts, low) : bisect_left(starts, high)]
+
+
 def _densest(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
     """Most aligned pairs within twice the template's length of text, so that stray words far off don't count."""
     best, start = (0, 0), 0
@@ -170,8 +189,8 @@ def scan_licenses(
 ) -> DataFrame:
     """One row for every notice found: id, license, coverage, start, end (words of the text, end exclusive), aligned.
 
-    Whole texts are scanned; null and empty texts have no notice. A notice that covers a short template and part
-    of a long one is reported under each that reaches the coverage. Repeated rows are reported each; an empty
+    Whole texts are scanned; null and empty texts have no notice. Words that several templates cover well count
+    for the one that aligns most of them, ties by coverage, then name. Repeated rows are reported each; an empty
     table gives no rows. Templates are parameters of a job, bounded by what its author wrote.
     """
     small_batches(docs.sparkSession)

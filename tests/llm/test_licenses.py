@@ -58,3 +58,12 @@ def test_repeated_notices_empty_table_and_clashes(spark):
     got = [r.start for r in lic.scan_licenses(docs).collect() if r.license == "MIT-notice"]
     assert sorted(got) == [5, 5, 12, 12, 47, 47]
     assert lic.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_the_template_with_more_aligned_words_wins():
+    scanner = lic.Scanner(lic.TEMPLATES, lic.COVERAGE)
+    assert [r[0] for r in scanner.scan("x Licensed under CC BY-NC 4.0. y")] == ["CC-BY-NC-4.0"]
+    assert [r[0] for r in scanner.scan("x Licensed under CC BY 4.0. y")] == ["CC-BY-4.0"]
+    assert [r[0] for r in scanner.scan(lic.TEMPLATES["Apache-2.0-header"])] == ["Apache-2.0-header"]
+    both = scanner.scan(f"{lic.TEMPLATES['MIT-notice']} All rights reserved. {lic.TEMPLATES['CC-BY-4.0']}")
+    assert [r[0] for r in both] == ["MIT-notice", "all-rights-reserved", "CC-BY-4.0"]
