@@ -33,8 +33,10 @@ _CHUNK = 1 << 16
 BLOCKS = ((23, 0b101011100011, 3), (23, 0b101011100011, 3), (15, 0b10011, 1))
 #: For similarity rather than bits: least 64-bit words of a fingerprint, least tables, the Hamming code of each.
 WORDS, TABLES, TABLE_CODE = 8, 16, ((31, 0b100101, 1),)
-#: Tables that are searched first, on all texts; the rest see only the texts that those leave apart.
-FIRST = 4
+#: Words of a shingle and Jaccard similarity from which texts are near duplicates.
+SHINGLE, SIMILARITY = 5, 0.8
+#: About so many documents tell which shingles are frequent, and so many shingles are told. Only speed depends on them.
+SAMPLE, FREQUENT = 4000, 50_000
 #: Part of the bits in which texts may differ whose five-word shingles are 0.8 alike. Scattered edits that leave
 #: that much change three-word shingles to a cosine of 0.94, 11 % of the bits; the rest is room for chance.
 DIFFERING = 0.137
@@ -215,72 +217,143 @@ def _names(words: int) -> list[str]:
     return [f"w{k}" for k in range(words)]
 
 
-def _wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
-    """(row, w0, w1 ...) of every document."""
-    small_batches(docs.sparkSession)
-    names = _names(words)
+def shingle_set(text: str | None, seed: int = 42) -> np.ndarray:
+    """Distinct hashes of a text's shingles of SHINGLE words, sorted."""
+    return np.unique(np.concatenate([*shingle_hashes(text, SHINGLE, seed), np.empty(0, np.uint64)]))
+
+
+def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of shingles that several documents of a sample hold, sorted by hash; they only order shingles."""
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wide = np.array([wide_fingerprint(t.as_py(), shingle, words) for t in b.column("text")], np.int64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(wide[:, k]) for k in range(words))], names=["row", *names])
+            for t in b.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py()).view(np.int64))], names=["h"])
 
-    rows = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(batch, ", ".join(["row long", *(f"{w} long" for w in names)]))
+    sample = docs.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, n // SAMPLE))) == 0).select("text").mapInArrow(batch, "h long")
+    top = sample.groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
+    top = np.array([(r.h, r["count"]) for r in top], np.int64).reshape(-1, 2)
+    hashes = np.ascontiguousarray(top[:, 0]).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], top[order, 1]
 
 
-def _at_tables(nodes: DataFrame, threshold: int, tables: range, extra: int, words: int) -> DataFrame:
-    """(key, node) for the anchors of tables within covering radius plus threshold; a key is table, anchor and extra bits."""
-    length, names = TABLE_CODE[0][0], _names(words)
+def rarest(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The shingles of a text, rarest first, of which two texts alike share one at least: all but similarity of them, and one more.
+
+    Any order that is the same for all texts will do; that of frequency keeps boilerplate last.
+    """
+    if not len(own):
+        return own
+    hashes, counts = frequent
+    rank = np.zeros(len(own), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        rank = np.where(hashes[at] == own, counts[at], 0)
+    return own[np.lexsort((own, rank))[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]]
+
+
+def _described(docs: DataFrame, shingle: int, words: int, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """(row, s0, s1, n, rare, w0, w1 ...): hashes and size of the shingle set, its rarest shingles, wide fingerprint."""
+    small_batches(docs.sparkSession)
+    names = _names(words)
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wide = np.stack([b.column(w).to_numpy(zero_copy_only=False) for w in names], axis=1)
-            bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-            node = b.column("node").to_numpy(zero_copy_only=False)
-            for t in tables:
-                own = bits[:, t * (length + extra) : (t + 1) * (length + extra)] @ (1 << np.arange(length + extra, dtype=np.int64))
-                row, anchor = anchors(own & ((1 << length) - 1), threshold, TABLE_CODE)
-                key = anchor | (own[row] >> length << length) | (t << (length + extra))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[row])], names=["key", "node"])
-
-    return nodes.mapInArrow(batch, "key long, node long")
-
-
-def _similar_links(nodes: DataFrame, tables: range, extra: int, words: int, differing: float) -> DataFrame:
-    """(a, b) of nodes that meet in one of the tables and differ in at most the given part of their bits."""
+            wide, sets, sizes, rare = [], [], [], []
+            for t in b.column("text"):
+                text = t.as_py()
+                own = shingle_set(text)
+                wide.append(wide_fingerprint(text, shingle, words))
+                sets.append([xxhash.xxh64_intdigest(own.tobytes(), k) for k in (1, 2)])
+                sizes.append(len(own))
+                rare.append(rarest(own, frequent, similarity).view(np.int64))
+            wide = np.array(wide, np.int64).reshape(-1, words)
+            sets = np.array(sets, np.uint64).reshape(-1, 2).view(np.int64)
+            columns = [b.column("row"), *(pa.array(sets[:, k]) for k in range(2)), pa.array(sizes, pa.int64()), pa.array(rare, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(wide[:, k]) for k in range(words))], names=["row", "s0", "s1", "n", "rare", *names])
+
+    return docs.mapInArrow(batch, ", ".join(["row long, s0 long, s1 long, n long, rare array<long>", *(f"{w} long" for w in names)]))
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, differing: float | None, similarity: float) -> DataFrame:
+    """Of pairs (a, b, fits), those whose fingerprints differ in at most the given part, and of those that fit the ones alike by their whole texts."""
     names = _names(words)
-    reps = materialize(_at_tables(nodes, 0, tables, extra, words).groupBy("key").agg(F.min("node").alias("rep")), "wide-homes")
-    pairs = _at_tables(nodes, 1, tables, extra, words).join(reps, "key").filter("node <> rep")
-    pairs = materialize(pairs.select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct(), "wide-pairs")
     one, two = (nodes.select(F.col("node").alias(x), *(F.col(w).alias(f"{x}{w}") for w in names)) for x in "ab")
     apart = reduce(Column.__add__, (F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in names))
-    return materialize(pairs.join(one, "a").join(two, "b").filter(apart <= int(64 * words * differing)).select("a", "b"), "wide-links")
+    near = F.lit(False) if differing is None else apart <= int(64 * words * differing)
+    told = pairs.join(one, "a").join(two, "b").select("a", "b", near.alias("near"), "fits")
+    told = materialize(told.filter("near OR fits"), "similar-told")
+    open_pairs = told.filter("NOT near").select("a", "b")
+    asked = materialize(open_pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "similar-asked")
+    asked = materialize(texts.join(bounded(asked, asked.count()), "row"), "similar-texts")
+    one, two = (asked.select(F.col("row").alias(x), F.col("text").alias(f"{x}t")) for x in "ab")
+
+    def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = []
+            for x, y in zip(b.column("at"), b.column("bt"), strict=True):
+                x, y = shingle_set(x.as_py()), shingle_set(y.as_py())
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            kept = pa.array(same, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(kept) for k in "ab"], names=["a", "b"])
 
+    exact = open_pairs.join(one, "a").join(two, "b").select("a", "b", "at", "bt").mapInArrow(batch, "a long, b long")
+    return materialize(told.filter("near").select("a", "b").unionByName(exact), "similar-links")
 
-def similar_groups(docs: DataFrame, *, id_col: str, text_col: str = "text", shingle: int = 3, differing: float = DIFFERING) -> DataFrame:
-    """(node, root) of the documents that a smaller id makes redundant, by estimated similarity; ids are unique longs.
 
-    Fingerprints of 512 bits or more over distinct shingles estimate the angle between texts: they link if at
-    most the given part of the bits differs. Links are sought in tables of 31 bits and more: a fingerprint
-    visits the anchors within covering radius plus one bit of each table, and is compared at each with the least
-    fingerprint whose home it is, so that no anchor compares all its pairs. A few tables come first; the others
-    see one text of each group found so far, so that a large group isn't searched over and over. Equal
-    fingerprints are one node throughout. Unlike near_links this may miss a link: of texts that differ in 10 %
-    of their bits it finds 95 %, of closer ones nearly all.
+def similar_groups(
+    docs: DataFrame, *, id_col: str, text_col: str = "text", shingle: int = 3, differing: float | None = DIFFERING, similarity: float = SIMILARITY
+) -> DataFrame:
+    """(node, root) of the documents that a smaller id makes redundant; ids are unique longs.
+
+    Texts link if the Jaccard similarity of their five-word shingles reaches similarity, all such pairs, and, unless
+    differing is None, if they share a rare shingle and their fingerprints differ in at most that part of the bits.
+    Two texts so alike share one of their rarest shingles (a fifth of each text's, and one more), in any order
+    common to all. At each such shingle every text is compared with the least one; then any two that those links
+    leave in different groups are compared, so that a pair goes uncompared only if it is in one group already, or
+    if what follows their first common shingle is too short for that similarity. Fingerprints are compared with
+    those of the least texts only.
+    Equal shingle sets are one node throughout.
     """
-    extra, tables, words = layout(docs.count())
+    docs = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
+    n = docs.count()
+    words = layout(n)[2]
     names = _names(words)
-    fps = materialize(_wide_fingerprints(docs, id_col, text_col, shingle, words), "wide-fp")
-    nodes = materialize(fps.groupBy(*names).agg(F.min("row").alias("node")), "wide-nodes")
-    links = _similar_links(nodes, range(FIRST), extra, words, differing)
-    inner = connected_components(links).filter("node <> root").select("node")
-    apart = materialize(nodes.join(materialize(inner, "wide-inner"), "node", "left_anti"), "wide-apart")
-    links = links.unionByName(_similar_links(apart, range(FIRST, tables), extra, words, differing))
-    roots = connected_components(links).filter("node <> root")
-    members = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = materialize(members.select(*names, "root"), "wide-roots")
-    return fps.join(members, names).filter("row <> root").select(F.col("row").alias("node"), "root")
+    fps = materialize(_described(docs, shingle, words, _frequent(docs, n), similarity), "similar-sets")
+    least = materialize(fps.groupBy("s0", "s1").agg(F.min("row").alias("node")), "similar-least")
+    nodes = materialize(fps.join(least.select("node"), F.col("row") == F.col("node")).select("node", "n", "rare", *names), "similar-nodes")
+    held = nodes.select("node", "n", F.posexplode("rare").alias("at", "h"))
+    shared = held.groupBy("h").agg(F.min(F.struct("node", "n", "at")).alias("rep"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("h", "rep")
+    held = materialize(held.join(materialize(shared, "similar-shared"), "h"), "similar-held")
+
+    def fits(n: str, at: str, other_n: str, other_at: str) -> Column:
+        left = F.least(F.col(n) - F.col(at), F.col(other_n) - F.col(other_at))
+        return left >= similarity / (1 + similarity) * (F.col(n) + F.col(other_n)) - 1e-9
+
+    pairs = held.filter("node <> rep.node").select(F.col("node").alias("a"), F.col("rep.node").alias("b"), fits("n", "at", "rep.n", "rep.at").alias("fits"))
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.max("fits").alias("fits")), "similar-pairs")
+    links = _similar(pairs, nodes, docs, words, differing, similarity)
+    if differing is not None:
+        equal = nodes.join(nodes.groupBy(*names).agg(F.min("node").alias("b")), names).filter("node <> b")
+        links = links.unionByName(equal.select(F.col("node").alias("a"), "b"))
+    roots = materialize(connected_components(links), "similar-roots")
+    held = held.join(roots, "node", "left").select("h", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    held = materialize(held, "similar-rooted")
+    mixed = held.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("h")
+    held = materialize(held.join(materialize(mixed, "similar-mixed"), "h"), "similar-open")
+    one, two = (held.select("h", F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("at").alias(f"{x}at"), F.col("root").alias(f"{x}r")) for x in "ab")
+    open_pairs = (F.col("a") > F.col("b")) & (F.col("ar") != F.col("br")) & fits("an", "aat", "bn", "bat")
+    rest = one.join(two, "h").filter(open_pairs).select("a", "b").distinct()
+    rest = rest.join(pairs.filter("fits"), ["a", "b"], "left_anti").withColumn("fits", F.lit(True))
+    rest = materialize(rest, "similar-rest")
+    links = links.unionByName(_similar(rest, nodes, docs, words, None, similarity))
+
+    roots = connected_components(links)
+    members = least.join(roots, "node", "left").select("s0", "s1", F.coalesce("root", "node").alias("root"))
+    members = materialize(members, "similar-members")
+    return fps.select("row", "s0", "s1").join(members, ["s0", "s1"]).filter("row <> root").select(F.col("row").alias("node"), "root")
 
 
 def without_duplicates(docs: DataFrame, *, text_col: str = "text", differing: float = DIFFERING) -> DataFrame:

@@ -155,3 +155,44 @@ def test_extra_bits_keep_the_groups(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate([*base, *(f"{t} end" for t in base)])]
     got = simhash.similar_groups(spark.createDataFrame(rows, TEXTS), id_col="doc_id").collect()
     assert sorted((r.node, r.root) for r in got) == [(i + 12, i) for i in range(12)]
+
+
+def plain_alike(texts, similarity=0.8):
+    """Group of each text by linking all whose five-word shingles have at least this Jaccard similarity."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]
+
+
+def numbered(rng, n):
+    return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def test_texts_that_share_most_shingles_are_all_compared(spark):
+    rng = random.Random(12)
+    common = numbered(rng, 150)
+    texts = []
+    for _ in range(80):
+        own = [*common, *numbered(rng, 50)]
+        texts.append(" ".join(own))
+        for _ in range(2):
+            own = list(own)
+            at = rng.randrange(150, 190)
+            own[at : at + 8] = numbered(rng, 8)
+            texts.append(" ".join(own))
+    group = plain_alike(texts)
+    kept = [r.doc_id for r in simhash.without_duplicates(spark.createDataFrame(list(enumerate(texts)), TEXTS)).collect()]
+    assert len({group[i] for i in kept}) == len(kept) and 1 < len(set(group)) < len(texts)
+    exact = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), TEXTS), id_col="doc_id", differing=None).collect()
+    least = {g: min(i for i, x in enumerate(group) if x == g) for g in group}
+    assert {r.node: r.root for r in exact} == {i: least[g] for i, g in enumerate(group) if least[g] != i}
