@@ -67,3 +67,12 @@ def test_the_template_with_more_aligned_words_wins():
     assert [r[0] for r in scanner.scan(lic.TEMPLATES["Apache-2.0-header"])] == ["Apache-2.0-header"]
     both = scanner.scan(f"{lic.TEMPLATES['MIT-notice']} All rights reserved. {lic.TEMPLATES['CC-BY-4.0']}")
     assert [r[0] for r in both] == ["MIT-notice", "all-rights-reserved", "CC-BY-4.0"]
+
+
+def test_notices_on_consecutive_lines_are_all_reported():
+    scanner = lic.Scanner(lic.TEMPLATES, lic.COVERAGE)
+    for name in ("all-rights-reserved", "MIT-notice", "CC-BY-4.0", "GPL-header"):
+        size = len(lic.tokens(lic.TEMPLATES[name]))
+        for n in (2, 3, 4, 7):
+            got = scanner.scan(" ".join(["x x", *[lic.TEMPLATES[name]] * n, "x x x"]))
+            assert [(r[0], r[2], r[3]) for r in got] == [(name, 2 + k * size, 2 + (k + 1) * size) for k in range(n)]

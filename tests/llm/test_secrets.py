@@ -51,3 +51,17 @@ def test_empty_table_and_clashing_names(spark):
     docs = spark.createDataFrame([(1, "token=abcdefghijklmnop", "s", 1, 2, 3)], DOCS + ", row int, base int, hash int")
     assert secrets.digest(secrets.find_secrets(docs)).first().n_assign == 1
     assert secrets.find_secrets(docs.limit(0)).count() == 0
+
+
+def test_each_private_key_is_judged_by_its_own_body(spark):
+    def key(i, end="\n", lines=20):
+        body = [hashlib.sha512(f"{i} {k}".encode()).hexdigest().upper()[:64] for k in range(lines)]
+        return end.join(["-----BEGIN RSA PRIVATE KEY-----", *body, "-----END RSA PRIVATE KEY-----"])
+
+    cut = key(9).partition("-----END")[0].rstrip()
+    keyed = key(10).replace("KEY-----\n", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n", 1)
+    texts = [*(key(i) for i in range(6)), key(6, "\r\n"), key(7, "\\n"), key(8, lines=400), cut, keyed]
+    rows = [(i, f"a {t} b", f"s{i % 3}") for i, t in enumerate(texts)] + [(100 + i, key(50), f"s{i}") for i in range(5)]
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("pem")] for r in secrets.digest(secrets.find_secrets(spark.createDataFrame(rows, DOCS))).collect()}
+    assert all(got[i] == [f"pem:2:{2 + len(t)}"] for i, t in enumerate(texts)), got
+    assert all(got[100 + i] == [] for i in range(5))

@@ -196,3 +196,19 @@ def test_texts_that_share_most_shingles_are_all_compared(spark):
     exact = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), TEXTS), id_col="doc_id", differing=None).collect()
     least = {g: min(i for i, x in enumerate(group) if x == g) for g in group}
     assert {r.node: r.root for r in exact} == {i: least[g] for i, g in enumerate(group) if least[g] != i}
+
+
+def test_chains_of_edits_leave_one_text(spark):
+    rng = random.Random(13)
+    texts = []
+    for _ in range(30):
+        own = numbered(rng, 200)
+        for _ in range(8):
+            texts.append(" ".join(own))
+            own = list(own)
+            for at in rng.sample(range(5, 195, 10), 4):
+                own[at] = f"x{rng.randrange(10**6)}"
+    group = plain_alike(texts)
+    assert len(set(group)) == 30
+    kept = simhash.without_duplicates(spark.createDataFrame(list(enumerate(texts)), TEXTS)).collect()
+    assert sorted(group[r.doc_id] for r in kept) == sorted(set(group))
