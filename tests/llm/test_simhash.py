@@ -212,3 +212,17 @@ def test_chains_of_edits_leave_one_text(spark):
     assert len(set(group)) == 30
     kept = simhash.without_duplicates(spark.createDataFrame(list(enumerate(texts)), TEXTS)).collect()
     assert sorted(group[r.doc_id] for r in kept) == sorted(set(group))
+
+
+def test_blocks_added_or_replaced_at_similarity_just_above_the_limit(spark):
+    rng = random.Random(14)
+    texts = []
+    for i in range(60):
+        own = numbered(rng, 300)
+        texts.append(" ".join(own))
+        texts.append(" ".join([*own, *numbered(rng, 72)] if i % 2 else [*own[:130], *numbered(rng, 27), *own[157:]]))
+    group = plain_alike(texts)
+    assert len(set(group)) == 60
+    kept = simhash.without_duplicates(spark.createDataFrame(list(enumerate(texts)), TEXTS)).collect()
+    assert sorted(group[r.doc_id] for r in kept) == sorted(set(group))
+    assert len(simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), TEXTS), id_col="doc_id", similarity=0.9, differing=None).collect()) == 0
