@@ -22,7 +22,11 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 # Candidates of the method, by kind.
 ADDED = ("bearer", "pem", "mixed")
 BEARER = r"(?<![A-Za-z])Bearer\x20++[A-Za-z0-9._~+/-]{16,}+=*+"
-PEM = r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----"
+# A key up to its END line, or without one the lines of base64 that follow; line ends may be escaped.
+PEM = (
+    r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----(?:[\s\\nr]*+[A-Z][A-Za-z-]{1,30}:[^\r\n\\]*+){0,8}+"
+    r"(?:[A-Za-z0-9+/=\s\\]*+-----END (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----|(?:(?:\s|\\[nr]){0,4}+[A-Za-z0-9+/]{16,}+=*+){0,512}+)"
+)
 MIXED = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+=*+"
 #: A value with more owners or repositories than this is an example.
 MAX_OWNERS, MAX_REPOS = 1, 3
@@ -44,10 +48,13 @@ def candidate_spans(text: Column) -> Column:
     """Spans of the added kinds, before the corpus is asked."""
     every = lambda m: F.lit(True)
     classes = lambda m: F.rlike(m, F.lit("[a-z]")) & F.rlike(m, F.lit("[A-Z]")) & (F.regexp_count(m, F.lit("[0-9]")) >= 3)
+    keys = spans(text, "pem", 4, PEM, every, F.contains(text, F.lit("-----BEGIN")))
+    mixed = spans(text, "mixed", 5, MIXED, classes, F.lit(True))
     return F.concat(
         spans(text, "bearer", 3, BEARER, every, F.contains(text, F.lit("Bearer"))),
-        spans(text, "pem", 4, PEM, every, F.contains(text, F.lit("-----BEGIN"))),
-        spans(text, "mixed", 5, MIXED, classes, F.lit(True)),
+        keys,
+        # the lines of a key are no values of their own
+        F.filter(mixed, lambda s: ~F.exists(keys, lambda k: (k["start"] <= s["start"]) & (s["end"] <= k["end"]))),
     )
 
 
@@ -76,8 +83,8 @@ def find_secrets(
     """One row a document: id, base (spans by kind), found (sorted spans, base and added), live and copied.
 
     repo and owner are columns of docs; by default a document is a repository of its own and its source the
-    owner. live holds the base and added spans whose value at most max_owners owners and max_repos repositories
-    hold, copied the other base spans. A candidate is added if it is live and touches no base span. Null text
+    owner. live holds the base and added spans whose value (of a private key, its whole text without line ends) at most max_owners owners and max_repos repositories
+    hold, copied the other base spans. A candidate is added if it is live and touches no base span; a key may hold some. Null text
     counts as empty; repeated rows are kept and count as one repository; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -90,7 +97,8 @@ def find_secrets(
 
     def hashed(s: Column) -> Column:
         m = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        value = F.when(s["kind"] == "assign", F.regexp_extract(m, ASSIGN, 2)).otherwise(m)
+        key = F.regexp_replace(m, r"\s|\\[nr]", "")
+        value = F.when(s["kind"] == "assign", F.regexp_extract(m, ASSIGN, 2)).when(s["kind"] == "pem", key).otherwise(m)
         return F.struct(s.alias("span"), F.xxhash64(value).alias("hash"))
 
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "repo", "owner", "base", F.transform(F.concat(all_base, "loose"), hashed).alias("all"))
@@ -106,7 +114,8 @@ def find_secrets(
     live = F.coalesce("live_all", F.array().cast(f"array<{SPAN}>"))
 
     def apart(s: Column) -> Column:
-        return ~F.exists(all_base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        inside = lambda b: (s["kind"] == "pem") & (s["start"] <= b["start"]) & (b["end"] <= s["end"])
+        return ~F.exists(all_base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]) & ~inside(b))
 
     added = F.filter(live, lambda s: s["kind"].isin(*ADDED) & apart(s))
     live_base = F.filter(live, lambda s: s["kind"].isin(*BASE))
