@@ -147,6 +147,30 @@ class Scanner:
                 # words that a second notice repeats anchor nothing: look at halves that share a template's length
                 middle = (low + high) // 2
                 stack += [(low, middle + len(template) // 2), (middle - len(template) // 2, high)]
+            else:
+                self._slide(words, low, high, k, out)
+
+    def _slide(self, words: list[str], low: int, high: int, k: int, out: list) -> None:
+        """Alignments in every window of a template's length, and of a quarter more, that holds enough of its words."""
+        template = self.words[k]
+        need = Counter(template)
+        for size in {len(template), len(template) + len(template) // 4 + 1}:
+            held: Counter[str] = Counter()
+            common = 0
+            for p in range(low, high):
+                w = words[p]
+                held[w] += 1
+                common += held[w] <= need[w]
+                if p - low >= size:
+                    w = words[p - size]
+                    common -= held[w] <= need[w]
+                    held[w] -= 1
+                if common < self.coverage * len(template):
+                    continue
+                start = max(low, p + 1 - size)
+                pairs = align(words[start : p + 1], template)
+                if len(pairs) >= self.coverage * len(template):
+                    out.append((self.names[k], len(pairs) / len(template), start + pairs[0][0], start + pairs[-1][0] + 1, len(pairs)))
 
 
 def _apart(found: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int, int]]:
