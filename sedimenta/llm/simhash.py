@@ -23,23 +23,26 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm._shared import bounded, materialize, small_batches
+from sedimenta.llm._shared import bounded, discard, materialize, small_batches
 from sedimenta.llm.components import connected_components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Shingles hashed and counted at a time.
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Shingles hashed and counted, and bytes split into words, at a time.
 _CHUNK = 1 << 16
+_ODD = 0x9E3779B97F4A7C15
+_POWERS = (np.empty(0, np.uint64), np.empty(0, np.uint64))
 #: Bits of the code blocks, from bit 0 of the fingerprint; generator polynomials of the Golay and the Hamming code.
 BLOCKS = ((23, 0b101011100011, 3), (23, 0b101011100011, 3), (15, 0b10011, 1))
-#: For similarity rather than bits: least 64-bit words of a fingerprint, least tables, the Hamming code of each.
-WORDS, TABLES, TABLE_CODE = 8, 16, ((31, 0b100101, 1),)
+#: For similarity rather than bits: 64-bit words of a fingerprint, tables, and the perfect Hamming code that covers
+#: the 31 bits of a table with 2^26 anchors.
+WORDS, TABLES, TABLE_CODE = 8, 48, ((31, 0b100101, 1),)
 #: Words of a shingle and Jaccard similarity from which texts are near duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
+#: Standard deviations of chance by which a fingerprint's bits may exceed what the similarity lets differ.
+CHANCE = 6
 #: About so many documents tell which shingles are frequent, and so many shingles are told. Only speed depends on them.
 SAMPLE, FREQUENT = 4000, 50_000
-#: Part of the bits in which texts may differ whose five-word shingles are 0.8 alike. Scattered edits that leave
-#: that much change three-word shingles to a cosine of 0.94, 11 % of the bits; the rest is room for chance.
-DIFFERING = 0.137
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
@@ -65,17 +68,16 @@ def _majority(hashes: Iterator[np.ndarray], words: int) -> np.ndarray:
     counts, n = np.zeros(64 * words, np.int64), 0
     for h in hashes:
         n += len(h)
-        wide = np.stack([h if k == 0 else _mixed(h, k) for k in range(words)], axis=1)
-        bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
-        whole = len(bits) // 255 * 255  # sums of 255 bits fit a byte
-        counts += bits[:whole].reshape(-1, 255, 64 * words).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-        counts += bits[whole:].sum(axis=0, dtype=np.uint8)
+        wide = h[:, None] if words == 1 else _mixed(h[:, None], np.arange(words, dtype=np.uint64))
+        bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # sums of 255 bits fit a byte
+            counts += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
     return counts * 2 > n if n else np.zeros(64 * words, bool)
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """Another 64 bits of a hash, by an odd step and a multiply-shift mix."""
-    h = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+def _mixed(h: np.ndarray, k: int | np.ndarray) -> np.ndarray:
+    """Another 64 bits of a hash, by k odd steps and a multiply-shift mix."""
+    h = h + np.asarray(k, np.uint64) * np.uint64(_ODD)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -87,10 +89,50 @@ def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little", signed=True)
 
 
-def wide_fingerprint(text: str | None, shingle: int, words: int = WORDS, seed: int = 42) -> np.ndarray:
-    """Words of 64 bits over the distinct shingles, so that repeated lines don't outweigh the rest."""
-    distinct = np.unique(np.concatenate([*shingle_hashes(text, shingle, seed), np.empty(0, np.uint64)]))
-    bits = _majority((distinct[k : k + _CHUNK] for k in range(0, len(distinct), _CHUNK)), words)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64, n of each at least."""
+    global _POWERS
+    if len(_POWERS[0]) < n:
+        n = 1 << n.bit_length()
+        _POWERS = tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, x, np.uint64)))) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+    return _POWERS
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words, A-Z lower-cased: polynomials of their bytes, taken as differences of running sums."""
+    data, at, out = (text or "").encode("utf-8", "surrogatepass").lower(), 0, [np.empty(0, np.uint64)]
+    while at < len(data):
+        cut = _SPACE.search(data, at + _CHUNK)  # a word is never cut
+        end = cut.start() if cut else len(data)
+        x = np.frombuffer(data, np.uint8, end - at, at)
+        inside = np.zeros(len(x) + 2, np.int8)
+        inside[1:-1] = (x != 32) & ((x < 9) | (x > 13))
+        edge = np.diff(inside)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        power, inverse = _powers(len(x))
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum((x.astype(np.uint64) + np.uint64(1)) * power[: len(x)], out=sums[1:])
+        out.append(_mixed((sums[ends] - sums[starts]) * inverse[starts], 1))
+        at = end
+    return np.concatenate(out)
+
+
+def distinct_shingles(words: np.ndarray, shingle: int) -> np.ndarray:
+    """Distinct hashes, sorted, of runs of word hashes; of all words if they are fewer. Nothing for no words."""
+    if not len(words):
+        return words
+    width = min(shingle, len(words))
+    h = np.full(len(words) - width + 1, width, np.uint64)
+    for j in range(width):
+        h = h * np.uint64(_ODD) + words[j : j + len(h)]
+    h = np.sort(_mixed(h, 1))
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+
+
+def wide_fingerprint(words: np.ndarray, shingle: int, wide: int = WORDS) -> np.ndarray:
+    """64-bit words of a SimHash over the distinct shingles of word hashes, so that repeated lines don't outweigh the rest."""
+    distinct = distinct_shingles(words, shingle)
+    bits = _majority((distinct[k : k + _CHUNK] for k in range(0, len(distinct), _CHUNK)), wide)
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
@@ -203,23 +245,33 @@ def near_duplicates(
     )
 
 
-def layout(n: int) -> tuple[int, int, int]:
-    """(bits beside the code, tables, words) for n texts: eight anchors or more a text, and the same recall at any n.
+def _names(words: int) -> list[str]:
+    return [f"w{k}" for k in range(words)]
 
-    Bits that have to be equal let one of nine near copies less pass each, which more tables make up for.
-    """
-    extra = max(0, math.ceil(math.log2(max(1, n) / 2**23)))
-    tables = math.ceil(TABLES / 0.89**extra)
-    return extra, tables, max(WORDS, -(-tables * (TABLE_CODE[0][0] + extra) // 64))
 
+def table_words(wide: np.ndarray, tables: int = TABLES, seed: int = 11) -> np.ndarray:
+    """(text, table): the bits of wide fingerprints that each table looks at, 31 of them drawn once and for all."""
+    length, rng = TABLE_CODE[0][0], np.random.default_rng(seed)
+    bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little")
+    powers = 1 << np.arange(length, dtype=np.int64)
+    picks = [rng.choice(64 * WORDS, length, replace=False) for _ in range(tables)]
+    return np.stack([bits[:, p].astype(np.int64) @ powers for p in picks], axis=1)
 
-def _names(words: int) -> list[str]:
-    return [f"w{k}" for k in range(words)]
+
+def most_differing(similarity: float, words: int = WORDS) -> int:
+    """Bits in which fingerprints of texts so alike differ at most, but for chance.
+
+    A block replaced leaves the shingle sets at a cosine of 2s / (1 + s), the least that a Jaccard similarity s
+    allows; each bit then differs with the angle's share of a half turn.
+    """
+    part = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * words
+    return min(n, math.floor(n * part + CHANCE * math.sqrt(n * part * (1 - part))))
 
 
-def shingle_set(text: str | None, seed: int = 42) -> np.ndarray:
+def shingle_set(text: str | None) -> np.ndarray:
     """Distinct hashes of a text's shingles of SHINGLE words, sorted."""
-    return np.unique(np.concatenate([*shingle_hashes(text, SHINGLE, seed), np.empty(0, np.uint64)]))
+    return distinct_shingles(word_hashes(text), SHINGLE)
 
 
 def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,116 +305,135 @@ def rarest(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity:
     return own[np.lexsort((own, rank))[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]]
 
 
-def _described(docs: DataFrame, shingle: int, words: int, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+def _described(docs: DataFrame, shingle: int, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
     """(row, s0, s1, n, rare, w0, w1 ...): hashes and size of the shingle set, its rarest shingles, wide fingerprint."""
     small_batches(docs.sparkSession)
-    names = _names(words)
+    names = _names(WORDS)
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             wide, sets, sizes, rare = [], [], [], []
             for t in b.column("text"):
-                text = t.as_py()
-                own = shingle_set(text)
-                wide.append(wide_fingerprint(text, shingle, words))
+                words = word_hashes(t.as_py())
+                own = distinct_shingles(words, SHINGLE)
+                wide.append(wide_fingerprint(words, shingle))
                 sets.append([xxhash.xxh64_intdigest(own.tobytes(), k) for k in (1, 2)])
                 sizes.append(len(own))
                 rare.append(rarest(own, frequent, similarity).view(np.int64))
-            wide = np.array(wide, np.int64).reshape(-1, words)
+            wide = np.array(wide, np.int64).reshape(-1, WORDS)
             sets = np.array(sets, np.uint64).reshape(-1, 2).view(np.int64)
             columns = [b.column("row"), *(pa.array(sets[:, k]) for k in range(2)), pa.array(sizes, pa.int64()), pa.array(rare, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(wide[:, k]) for k in range(words))], names=["row", "s0", "s1", "n", "rare", *names])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(wide[:, k]) for k in range(WORDS))], names=["row", "s0", "s1", "n", "rare", *names])
 
     return docs.mapInArrow(batch, ", ".join(["row long, s0 long, s1 long, n long, rare array<long>", *(f"{w} long" for w in names)]))
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, differing: float | None, similarity: float) -> DataFrame:
-    """Of pairs (a, b, fits), those whose fingerprints differ in at most the given part, and of those that fit the ones alike by their whole texts."""
-    names = _names(words)
-    one, two = (nodes.select(F.col("node").alias(x), *(F.col(w).alias(f"{x}{w}") for w in names)) for x in "ab")
-    apart = reduce(Column.__add__, (F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in names))
-    near = F.lit(False) if differing is None else apart <= int(64 * words * differing)
-    told = pairs.join(one, "a").join(two, "b").select("a", "b", near.alias("near"), "fits")
-    told = materialize(told.filter("near OR fits"), "similar-told")
-    open_pairs = told.filter("NOT near").select("a", "b")
-    asked = materialize(open_pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "similar-asked")
-    asked = materialize(texts.join(bounded(asked, asked.count()), "row"), "similar-texts")
-    one, two = (asked.select(F.col("row").alias(x), F.col("text").alias(f"{x}t")) for x in "ab")
+def _at_tables(nodes: DataFrame, tables: int) -> DataFrame:
+    """(h, node): the anchor of every table within whose covering radius a wide fingerprint lies; one, as the code is perfect."""
+    names = _names(WORDS)
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same = []
-            for x, y in zip(b.column("at"), b.column("bt"), strict=True):
-                x, y = shingle_set(x.as_py()), shingle_set(y.as_py())
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
-            kept = pa.array(same, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(kept) for k in "ab"], names=["a", "b"])
+            wide = np.stack([b.column(w).to_numpy(zero_copy_only=False) for w in names], axis=1)
+            own = b.column("node").to_numpy(zero_copy_only=False)
+            for t, bits in enumerate(table_words(wide, tables).T):
+                row, anchor = anchors(bits, 0, TABLE_CODE)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor | (t << TABLE_CODE[0][0])), pa.array(own[row])], names=["h", "node"])
+
+    return nodes.select("node", *names).mapInArrow(batch, "h long, node long")
 
-    exact = open_pairs.join(one, "a").join(two, "b").select("a", "b", "at", "bt").mapInArrow(batch, "a long, b long")
-    return materialize(told.filter("near").select("a", "b").unionByName(exact), "similar-links")
+
+def _sets(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, set) of the asked texts."""
+
+    def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([shingle_set(t.as_py()).view(np.int64) for t in b.column("text")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("row"), sets], names=["node", "set"])
+
+    return texts.join(bounded(asked, asked.count()), "row").mapInArrow(batch, "node long, set array<long>")
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b), those whose whole texts have that Jaccard similarity: the exact check that follows any search."""
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "similar-asked")
+    sets = materialize(_sets(texts, asked), "similar-texts")
+    discard(asked)
+    one, two = (sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}s")) for x in "ab")
+    common, both = F.size(F.array_intersect("as", "bs")), F.size("as") + F.size("bs")
+    links = materialize(pairs.join(one, "a").join(two, "b").filter(common * (1 + similarity) >= both * F.lit(similarity) - 1e-9).select("a", "b"), "similar-links")
+    discard(sets)
+    return links
+
+
+def _near(most: int) -> Column:
+    """Whether fingerprints a.w0 ..., b.w0 ... differ in at most that many bits."""
+    return reduce(Column.__add__, (F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in _names(WORDS))) <= most
 
 
 def similar_groups(
-    docs: DataFrame, *, id_col: str, text_col: str = "text", shingle: int = 3, differing: float | None = DIFFERING, similarity: float = SIMILARITY
+    docs: DataFrame, *, id_col: str, text_col: str = "text", shingle: int = 3, similarity: float = SIMILARITY, tables: int = TABLES, rest: bool = True
 ) -> DataFrame:
     """(node, root) of the documents that a smaller id makes redundant; ids are unique longs.
 
-    Texts link if the Jaccard similarity of their five-word shingles reaches similarity, all such pairs, and, unless
-    differing is None, if they share a rare shingle and their fingerprints differ in at most that part of the bits.
-    Two texts so alike share one of their rarest shingles (a fifth of each text's, and one more), in any order
-    common to all. At each such shingle every text is compared with the least one; then any two that those links
-    leave in different groups are compared, so that a pair goes uncompared only if it is in one group already, or
-    if what follows their first common shingle is too short for that similarity. Fingerprints are compared with
-    those of the least texts only.
-    Equal shingle sets are one node throughout.
+    Texts link if the Jaccard similarity of their five-word shingles reaches similarity, which is checked on the
+    whole texts of every pair that a search proposes. Two searches propose pairs:
+
+    1. Anchors. Every table looks at 31 bits of the wide SimHash; a text goes to the anchor of a covering code
+       within whose radius those bits lie. At an anchor every text is compared with the least one.
+    2. The rest (rest=True), as anchors alone may miss some. Two texts so alike share one of their rarest shingles,
+       a fifth of each text's and one more, in any order common to all. Any two that share one, that the first
+       search left in different groups and whose fingerprints don't differ by more than similarity and CHANCE
+       standard deviations allow, are compared. A pair goes uncompared only if it is in one group already.
+
+    Neither search has a cap, and nothing depends on the number of documents. Equal shingle sets are one node
+    throughout, so that groups of copies cost one text. Null texts and texts without words are alike. A text of
+    fewer than five words is one shingle. An empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
-    n = docs.count()
-    words = layout(n)[2]
-    names = _names(words)
-    fps = materialize(_described(docs, shingle, words, _frequent(docs, n), similarity), "similar-sets")
-    least = materialize(fps.groupBy("s0", "s1").agg(F.min("row").alias("node")), "similar-least")
-    nodes = materialize(fps.join(least.select("node"), F.col("row") == F.col("node")).select("node", "n", "rare", *names), "similar-nodes")
-    held = nodes.select("node", "n", F.posexplode("rare").alias("at", "h"))
-    shared = held.groupBy("h").agg(F.min(F.struct("node", "n", "at")).alias("rep"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("h", "rep")
-    held = materialize(held.join(materialize(shared, "similar-shared"), "h"), "similar-held")
-
-    def fits(n: str, at: str, other_n: str, other_at: str) -> Column:
-        left = F.least(F.col(n) - F.col(at), F.col(other_n) - F.col(other_at))
-        return left >= similarity / (1 + similarity) * (F.col(n) + F.col(other_n)) - 1e-9
-
-    pairs = held.filter("node <> rep.node").select(F.col("node").alias("a"), F.col("rep.node").alias("b"), fits("n", "at", "rep.n", "rep.at").alias("fits"))
-    pairs = materialize(pairs.groupBy("a", "b").agg(F.max("fits").alias("fits")), "similar-pairs")
-    links = _similar(pairs, nodes, docs, words, differing, similarity)
-    if differing is not None:
-        equal = nodes.join(nodes.groupBy(*names).agg(F.min("node").alias("b")), names).filter("node <> b")
-        links = links.unionByName(equal.select(F.col("node").alias("a"), "b"))
-    roots = materialize(connected_components(links), "similar-roots")
-    held = held.join(roots, "node", "left").select("h", "node", "n", "at", F.coalesce("root", "node").alias("root"))
-    held = materialize(held, "similar-rooted")
-    mixed = held.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("h")
-    held = materialize(held.join(materialize(mixed, "similar-mixed"), "h"), "similar-open")
-    one, two = (held.select("h", F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("at").alias(f"{x}at"), F.col("root").alias(f"{x}r")) for x in "ab")
-    open_pairs = (F.col("a") > F.col("b")) & (F.col("ar") != F.col("br")) & fits("an", "aat", "bn", "bat")
-    rest = one.join(two, "h").filter(open_pairs).select("a", "b").distinct()
-    rest = rest.join(pairs.filter("fits"), ["a", "b"], "left_anti").withColumn("fits", F.lit(True))
-    rest = materialize(rest, "similar-rest")
-    links = links.unionByName(_similar(rest, nodes, docs, words, None, similarity))
+    names, most = _names(WORDS), most_differing(similarity)
+    fps = materialize(_described(docs, shingle, _frequent(docs, docs.count()), similarity), "similar-sets")
+    members = materialize(fps.select("row", "s0", "s1"), "similar-rows")
+    least = materialize(members.groupBy("s0", "s1").agg(F.min("row").alias("node")), "similar-least")
+    nodes = materialize(fps.filter("n > 0").join(least.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "rare", *names), "similar-nodes")
+    discard(fps)
+    prints = nodes.select("node", *names)
+
+    def close(pairs: DataFrame) -> DataFrame:
+        told = pairs.join(prints.alias("a"), F.col("x") == F.col("a.node")).join(prints.alias("b"), (F.col("y") == F.col("b.node")) & _near(most))
+        return told.select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    held = _at_tables(prints, tables).repartition("h")
+    rep = held.groupBy("h").agg(F.min("node").alias("rep"), F.max("node").alias("last")).filter("rep < last").select("h", "rep")
+    pairs = materialize(held.join(rep, "h").filter("node <> rep").select(F.col("node").alias("x"), F.col("rep").alias("y")).distinct(), "similar-met")
+    links = _alike(materialize(close(pairs), "similar-pairs"), docs, similarity)
+    if rest:
+        roots = materialize(connected_components(links), "similar-roots")
+        rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("rare").alias("h"))
+        rooted = rooted.repartition("h")
+        mixed = rooted.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("last")).filter("least < last").select("h")
+        held = materialize(rooted.join(mixed, "h").join(prints, "node"), "similar-open")
+        apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+        more = held.alias("a").join(held.alias("b"), apart & _near(most)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+        more = materialize(more.join(links, ["a", "b"], "left_anti"), "similar-rest")
+        discard(held)
+        links = links.unionByName(_alike(more, docs, similarity))
 
     roots = connected_components(links)
-    members = least.join(roots, "node", "left").select("s0", "s1", F.coalesce("root", "node").alias("root"))
-    members = materialize(members, "similar-members")
-    return fps.select("row", "s0", "s1").join(members, ["s0", "s1"]).filter("row <> root").select(F.col("row").alias("node"), "root")
+    grouped = least.join(roots, "node", "left").select("s0", "s1", F.coalesce("root", "node").alias("root"))
+    grouped = materialize(grouped, "similar-members")
+    discard(nodes)
+    return members.join(grouped, ["s0", "s1"]).filter("row <> root").select(F.col("row").alias("node"), "root")
 
 
-def without_duplicates(docs: DataFrame, *, text_col: str = "text", differing: float = DIFFERING) -> DataFrame:
+def without_duplicates(docs: DataFrame, *, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of similar texts, the first as docs lie, with all its columns.
 
     Rows are numbered, so that null and repeated ids don't matter: of repeated rows, too, one stays. Texts that
-    are null or have no word are alike. Other columns are kept as they are; an empty table gives no rows.
+    are null or have no word are alike. Very long texts are compared whole. Other columns are kept as they are,
+    whatever their names; an empty table gives no rows.
     """
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "dedup-rows")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "dedup-rows")
     texts = rows.select("row", F.col(f"doc.`{text_col}`").alias("text"))
-    gone = materialize(similar_groups(texts, id_col="row", differing=differing).select(F.col("node").alias("row")), "dedup-gone")
+    gone = materialize(similar_groups(texts, id_col="row", similarity=similarity).select(F.col("node").alias("row")), "dedup-gone")
     return rows.join(bounded(gone, gone.count()), "row", "left_anti").select("doc.*")

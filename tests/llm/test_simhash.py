@@ -38,22 +38,6 @@ def plain_components(ids, fps, threshold):
     return [least[find(i)] for i in range(len(ids))]
 
 
-def plain_groups(texts):
-    """Group of each text by linking all whose distinct shingles' wide fingerprints differ in few bits."""
-    wide = np.stack([simhash.wide_fingerprint(t, 3) for t in texts]).view(np.uint64)
-    root = list(range(len(texts)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in np.flatnonzero(np.bitwise_count(wide[:i] ^ wide[i]).sum(axis=1) <= 512 * simhash.DIFFERING):
-            root[find(i)] = find(int(j))
-    return [find(i) for i in range(len(texts))]
-
-
 def test_every_pair_within_the_threshold_meets_at_a_home():
     rng = np.random.default_rng(1)
     x = rng.integers(-(2**63), 2**63 - 1, 300)
@@ -111,7 +95,7 @@ def test_wide_fingerprints_estimate_the_angle():
     got = []
     for share in (0, 0.02, 0.2):
         b = [w if rng.random() > share else "x" for w in a]
-        one, two = (simhash.wide_fingerprint(" ".join(x), 3).view(np.uint64) for x in (a, b))
+        one, two = (simhash.wide_fingerprint(simhash.word_hashes(" ".join(x)), 3).view(np.uint64) for x in (a, b))
         common = len({tuple(a[i : i + 3]) for i in range(998)} & {tuple(b[i : i + 3]) for i in range(998)})
         want = np.arccos(min(1, common / 998)) / np.pi * 512
         got.append(abs(int(np.bitwise_count(one ^ two).sum()) - want))
@@ -121,6 +105,20 @@ def test_wide_fingerprints_estimate_the_angle():
     assert hashes.tolist() == [xxhash.xxh64_intdigest(g, 42) for g in (b"one two three", b"two three four")]
 
 
+def test_word_hashes_tell_words_apart_wherever_they_stand():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abAB\u00e9\U0001f600", k=rng.randrange(1, 9))) for _ in range(40_000)]
+    text = "".join(w + rng.choice([" ", "\t\n", "  "]) for w in words)
+    got = simhash.word_hashes(text).tolist()
+    lower = ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in words]
+    assert len(text.encode()) > 2 * simhash._CHUNK and len(got) == len(words)
+    by_word = {}
+    for w, h in zip(lower, got, strict=True):
+        assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word) == len(set(lower))
+    assert len(simhash.word_hashes(None)) == len(simhash.word_hashes(" \n")) == 0
+
+
 def test_similar_texts_go_and_others_stay(spark):
     rng = random.Random(9)
     prose = lambda n: " ".join("".join(rng.choices("abcdefghijklm", k=5)) for _ in range(n))
@@ -140,23 +138,6 @@ def test_similar_texts_go_and_others_stay(spark):
     assert kept[0].row == "s" and simhash.without_duplicates(docs.limit(0)).count() == 0
 
 
-def test_layout_keeps_anchors_ahead_of_texts():
-    assert simhash.layout(0) == simhash.layout(10**6) == (0, 16, 8)
-    for n in (10**8, 10**10):
-        extra, tables, words = simhash.layout(n)
-        assert 2 ** (26 + extra) >= 8 * n and tables * 0.89**extra >= 16 and tables * (31 + extra) <= 64 * words
-        assert (tables << (31 + extra)) < 2**63
-
-
-def test_extra_bits_keep_the_groups(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "layout", lambda n: (3, 23, 13))
-    rng = random.Random(4)
-    base = [" ".join("".join(rng.choices("abcdefghijklm", k=5)) for _ in range(150)) for _ in range(12)]
-    rows = [(i, t) for i, t in enumerate([*base, *(f"{t} end" for t in base)])]
-    got = simhash.similar_groups(spark.createDataFrame(rows, TEXTS), id_col="doc_id").collect()
-    assert sorted((r.node, r.root) for r in got) == [(i + 12, i) for i in range(12)]
-
-
 def plain_alike(texts, similarity=0.8):
     """Group of each text by linking all whose five-word shingles have at least this Jaccard similarity."""
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in texts]
@@ -193,7 +174,7 @@ def test_texts_that_share_most_shingles_are_all_compared(spark):
     group = plain_alike(texts)
     kept = [r.doc_id for r in simhash.without_duplicates(spark.createDataFrame(list(enumerate(texts)), TEXTS)).collect()]
     assert len({group[i] for i in kept}) == len(kept) and 1 < len(set(group)) < len(texts)
-    exact = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), TEXTS), id_col="doc_id", differing=None).collect()
+    exact = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), TEXTS), id_col="doc_id").collect()
     least = {g: min(i for i, x in enumerate(group) if x == g) for g in group}
     assert {r.node: r.root for r in exact} == {i: least[g] for i, g in enumerate(group) if least[g] != i}
 
@@ -225,4 +206,42 @@ def test_blocks_added_or_replaced_at_similarity_just_above_the_limit(spark):
     assert len(set(group)) == 60
     kept = simhash.without_duplicates(spark.createDataFrame(list(enumerate(texts)), TEXTS)).collect()
     assert sorted(group[r.doc_id] for r in kept) == sorted(set(group))
-    assert len(simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), TEXTS), id_col="doc_id", similarity=0.9, differing=None).collect()) == 0
+    assert len(simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), TEXTS), id_col="doc_id", similarity=0.9).collect()) == 0
+
+
+def edited(rng, words, kind):
+    """A text's words with about a tenth of its shingles changed, by one of three kinds of edit."""
+    words, n = list(words), len(words)
+    if kind == 0:
+        for at in rng.sample(range(n), max(1, n // 45 - rng.randrange(2))):
+            words[at] = f"x{rng.randrange(10**6)}"
+    elif kind == 1:
+        at, k = rng.randrange(n // 2), n // 10 - rng.randrange(6)
+        words[at : at + k] = numbered(rng, k)
+    else:
+        words += numbered(rng, n // 4 - 1 - rng.randrange(n // 20))
+    return words
+
+
+def test_recall_of_the_anchors_and_of_both_searches(spark):
+    rng, texts, near = random.Random(15), [], set()
+    for i in range(3000):
+        own = numbered(rng, rng.randrange(80, 300))
+        other = edited(rng, own, i % 3)
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (own, other))
+        if len(a & b) >= 0.8 * len(a | b):
+            near.add(len(texts) + 1)
+        texts += [" ".join(own), " ".join(other)]
+    assert len(near) > 2000
+    docs = spark.createDataFrame(list(enumerate(texts)), TEXTS)
+    both = {r.node for r in simhash.similar_groups(docs, id_col="doc_id").collect()}
+    assert both == near
+    alone = {r.node for r in simhash.similar_groups(docs, id_col="doc_id", rest=False).collect()}
+    assert alone <= near and len(alone) >= 0.55 * len(near)
+    wide = {r.node for r in simhash.similar_groups(docs, id_col="doc_id", rest=False, tables=200).collect()}
+    assert len(wide) >= 0.95 * len(near)
+
+
+def test_cut_of_the_fingerprints_leaves_room_for_chance():
+    assert simhash.most_differing(1.0) == 0
+    assert 512 * np.arccos(1.6 / 1.8) / np.pi + 40 < simhash.most_differing(0.8) < 140
