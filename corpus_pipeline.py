@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts about 0.8 alike or more, by 512-bit fingerprints."""
+    """One document of each group of texts that links of similarity 0.8 or more join."""
     return simhash.without_duplicates(docs)
 
 
@@ -40,8 +40,13 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, with how often each is taken; those not taken go."""
-    return mixing.mix_sources(docs).filter("copies > 0 OR size = 0")
+    """The documents of the mix with all their columns, and copies (how often each is taken), taken (words), source_size
+    and target of its source; those not taken go, but for texts without words. A column of docs of such a name stays,
+    the mix's own then begins with mix_."""
+    mixed = mixing.mix_sources(docs, carry=docs.columns)
+    own = {c: f"mix_{c}" if c in docs.columns else c for c in ("copies", "taken", "source_size", "target")}
+    kept = mixed.filter("copies > 0 OR size = 0")
+    return kept.select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns), *(F.col(c).alias(name) for c, name in own.items()))
 
 
 STAGES = [
