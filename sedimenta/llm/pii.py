@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm._shared import materialize
-from sedimenta.llm.spans import SPAN, joined, matches, redact, spans
+from sedimenta.llm.spans import SPAN, bare, joined, matches, overlaps, redact, spans
 
 # Kinds in the listed order and their patterns. Runs are possessive, and a match of email or ip
 # begins at the start of a run, so that long runs cost no more than their length.
@@ -29,18 +29,20 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 ADDED = ("number", "mailtext", "name")
 NUMBER = r"(?<![0-9A-Za-z+.(-])(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-][0-9]{2,4}){2,3}(?![0-9A-Za-z-])"
 MAILTEXT = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]{1,24}){1,4}"
-NAME = r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra?)\.?\x20[A-Z]\p{Ll}{1,30}(?:\x20[A-Z]\p{Ll}{1,30})?"
-
-# Gazetteers and context words of the labelers.
-DOMAINS = r"(?i)(?:com|net|org|edu|gov|info|de|fr|es|uk|eu)$"
-TITLES = r"^(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra?)"
-CODES = r"^\+?(?:1|33|34|44|49)[\x20(.-]"
+NAME = r"(?<![A-Za-z])(?:" + "|".join(_TITLES := (
+    "Mr", "Mrs", "Ms", "Miss", "Mx", "Dr", "Prof", "Sir", "Dame", "Lady", "Lord", "Rev", "Hon", "Capt", "Sgt", "Herr", "Frau", "Hr", "Fr",
+    "Mme", "Mlle", "Me", "Sr", "Sra", "Srta", "Don", "Do\u00f1a", "Sig", "Dott", "Ing", "Pan", "Pani", "Dhr", "Mevr",
+)) + r")\.?\x20[A-Z]\p{Ll}{1,30}(?:\x20[A-Z]\p{Ll}{1,30})?"
+
+# Fixed values, gazetteers and context words of the labelers: top-level domains (all of two letters are countries),
+# titles, and the country codes of telephone numbers.
+DOMAINS = r"(?i)(?:[a-z]{2}|com|net|org|edu|gov|mil|int|info|biz|name|pro|aero|coop|museum|jobs|mobi|travel|cat|post|tel|asia|app|dev|online|shop|site|store|tech|xyz|cloud|blog|email)$"
+TITLES = r"^(?:" + "|".join(_TITLES) + r")\b"
+CODES = r"^\+?(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-689][0-9]|3[578][0-9]|42[0-9]|5[09][0-9]|6[789][0-9]|8[058][0-9]|9[679][0-9])[\x20(.-]"
 CONTEXT = r"(?i)(?:phone|tel|call|mobile|fax|contact|mail|write|card|visa|ssn|passport|name|dear|from)[\x20.:#=-]{0,4}$"
 AGAINST = r"(?i)(?:version|ver|build|page|order|item|part|isbn|section|fig|table|pp?|no|v)[\x20.:#=-]{0,3}$"
-#: Code points before a span that the context labelers see.
-REACH = 24
 LABELERS = ("shape", "digits", "gazetteer", "context", "against")
-FEATURES = ("f_kind", "f_digits", "f_groups", "f_length", "f_sep")
+FEATURES = ("f_kind", "f_digits", "f_groups", "f_length", "f_sep", "f_shape", "f_before")
 #: Candidates at least this likely are added.
 ACCEPT = 0.5
 
@@ -49,6 +51,18 @@ def _digits(m: Column) -> Column:
     return F.char_length(F.regexp_replace(m, "[^0-9]", ""))
 
 
+def _shape(m: Column) -> Column:
+    """Runs of digits as 9, of letters as a, of anything else as x; eight of them at most."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(m, r"\p{L}+", "a"), r"[^a0-9]+", "x"), r"[0-9]+", "9"), 1, 8)
+
+
+def _before(before: Column) -> Column:
+    """What kind of character stands before a span: none, a letter, a digit, a mark; and whether a space lies between."""
+    last = F.right(F.rtrim(before), F.lit(1))
+    kind = F.when(last == "", "none").when(F.rlike(last, F.lit(r"\p{L}")), "letter").when(F.rlike(last, F.lit("[0-9]")), "digit").when(F.rlike(last, F.lit("[:=#(]")), last).otherwise("mark")
+    return F.concat(kind, F.when(F.endswith(before, F.lit(" ")), F.lit(" ")).otherwise(F.lit("")))
+
+
 def _octets(m: Column) -> Column:
     return F.rlike(m, F.lit(r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]?)(?:\.|$)){4}$"))
 
@@ -77,13 +91,11 @@ def candidate_spans(text: Column) -> Column:
     return F.concat(number, spans(text, "mailtext", 5, MAILTEXT, keep, at), spans(text, "name", 6, NAME, keep, F.lit(True)))
 
 
-def _described(text: Column, found: Column) -> Column:
+def _described(found: Column) -> Column:
     """Spans with the labelers' votes (1, -1 or 0 to abstain) and the features of the final classifier."""
 
     def describe(s: Column) -> Column:
-        m = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        first = F.greatest(s["start"] - REACH, F.lit(0))
-        before = F.substring(text, first + 1, s["start"] - first)
+        m, before = s["match"], s["before"]
         digits, numeric = _digits(m), s["kind"].isin("ip", "card", "phone", "number")
         vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
         shape = vote(F.rlike(m, F.lit(r"^(?:\+[0-9]{1,3}\x20)?\(?[0-9]{3}\)?[\x20.-][0-9]{2,3}[\x20.-][0-9]{4}$|@|[\[(]at[\])]")), numeric & F.rlike(m, F.lit(r"^[0-9]{1,2}[.-]|\.[0-9]{1,2}\.")))
@@ -93,9 +105,9 @@ def _described(text: Column, found: Column) -> Column:
         against = vote(F.lit(False), F.rlike(before, F.lit(AGAINST)))
         groups = F.least(F.regexp_count(m, F.lit(r"[\x20.-]")), F.lit(6))
         sep = F.coalesce(F.nullif(F.regexp_extract(m, r"[^0-9A-Za-z]", 0), F.lit("")), F.lit("none"))
-        features = (s["kind"], F.least(digits, F.lit(16)).cast("string"), groups.cast("string"), F.least(F.floor(F.char_length(m) / 4), F.lit(10)).cast("string"), F.when(F.rlike(sep, F.lit("^[ -~]+$")), sep).otherwise("other"))
+        features = (s["kind"], F.least(digits, F.lit(16)).cast("string"), groups.cast("string"), F.least(F.floor(F.char_length(m) / 4), F.lit(10)).cast("string"), F.when(F.rlike(sep, F.lit("^[ -~]+$")), sep).otherwise("other"), _shape(m), _before(before))
         return F.struct(
-            s.alias("span"),
+            F.struct(*(s[k].alias(k) for k in ("start", "rank", "end", "kind"))).alias("span"),
             *(v.cast("int").alias(k) for k, v in zip(LABELERS, (shape, counted, gazetteer, context, against), strict=True)),
             *(v.alias(k) for k, v in zip(FEATURES, features, strict=True)),
         )
@@ -152,18 +164,20 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", accept: float = ACCEPT,
 
     carry names the columns that are kept, all by default; leaving the text out spares writing it.
 
-    Null text counts as empty and gives no spans. A candidate that touches a base span is not added; accepted
-    candidates of different kinds may overlap. Repeated rows are judged alike; an empty table gives no rows. Columns
-    of docs are nested, so that no name clashes.
+    Null text counts as empty and gives no spans. Very long texts are searched whole, in time that grows with their
+    length and number of spans. A candidate that touches a base span is not added; accepted candidates of different
+    kinds may overlap. Repeated rows are judged alike; an empty table gives no rows. Columns of docs are nested, so
+    that no name clashes.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     carried = (F.col(f"`{c}`") for c in (docs.columns if carry is None else carry))
     rows = docs.select(F.struct(*carried).alias("row"), F.col(text_col).alias("text"))
     by_kind = base_spans(text)
     rows = rows.select("row", "text", F.struct(*(by_kind[k].alias(k) for k in BASE)).alias("base"), candidate_spans(text).alias("loose"))
-    all_base = F.concat(*(F.col(f"base.{k}") for k in BASE))
-    rows = rows.select("row", "base", _described(text, F.concat(all_base, "loose")).alias("described"))
+    described = _described(F.concat(*(F.col(f"base.{k}") for k in BASE), "loose"))
+    rows = rows.select("row", F.struct(*(bare(F.col(f"base.{k}")).alias(k) for k in BASE)).alias("base"), described.alias("described"))
     rows = materialize(rows, "pii-spans")
+    all_base = F.concat(*(F.col(f"base.{k}") for k in BASE))
     bias, weights, _ = train(rows.select(F.explode("described").alias("d")).select("d.*"))
     cut = math.log(accept / (1 - accept))
 
@@ -175,8 +189,8 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", accept: float = ACCEPT,
         return d["span"]["kind"].isin(*ADDED) & (score >= cut)
 
     def apart(d: Column) -> Column:
-        touching = lambda b: (b["start"] < d["span"]["end"]) & (d["span"]["start"] < b["end"])
-        return ~F.exists(all_base, touching)
+        touched = [overlaps(F.col(f"base.{k}"), d["span"]["start"], d["span"]["end"]) for k in BASE]
+        return ~(touched[0] | touched[1] | touched[2] | touched[3])
 
     added = F.transform(F.filter(F.col("described"), lambda d: accepted(d) & apart(d)), lambda d: d["span"])
     return rows.select("row", "base", F.array_sort(F.concat(all_base, added)).alias("found"))
@@ -194,7 +208,11 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """docs with every span of personal data in the text replaced by its kind; null texts stay null."""
+    """docs with every span of personal data in the text replaced by its kind; spans that overlap become one.
+
+    Null texts stay null, empty and very long ones are handled whole, repeated rows alike; other columns are kept as
+    they are, whatever their names; an empty table gives no rows.
+    """
     found = find_pii(docs, text_col=text_col)
     text = F.col(f"row.{text_col}")
     clean = F.when(text.isNotNull(), redact(text, F.col("found")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm._shared import materialize
-from sedimenta.llm.spans import SPAN, joined, matches, spans
+from sedimenta.llm.spans import SPAN, bare, crosses, joined, let, matches, overlaps, spans, within
 
 # Kinds in the listed order and their patterns, with possessive runs.
 BASE = ("assign", "access", "hex")
@@ -50,12 +50,9 @@ def candidate_spans(text: Column) -> Column:
     classes = lambda m: F.rlike(m, F.lit("[a-z]")) & F.rlike(m, F.lit("[A-Z]")) & (F.regexp_count(m, F.lit("[0-9]")) >= 3)
     keys = spans(text, "pem", 4, PEM, every, F.contains(text, F.lit("-----BEGIN")))
     mixed = spans(text, "mixed", 5, MIXED, classes, F.lit(True))
-    return F.concat(
-        spans(text, "bearer", 3, BEARER, every, F.contains(text, F.lit("Bearer"))),
-        keys,
-        # the lines of a key are no values of their own
-        F.filter(mixed, lambda s: ~F.exists(keys, lambda k: (k["start"] <= s["start"]) & (s["end"] <= k["end"]))),
-    )
+    # the lines of a key are no values of their own
+    own = let(F.struct(keys.alias("keys"), mixed.alias("mixed")), lambda x: F.concat(x["keys"], F.filter(x["mixed"], lambda s: ~within(x["keys"], s["start"], s["end"]))))
+    return F.concat(spans(text, "bearer", 3, BEARER, every, F.contains(text, F.lit("Bearer"))), own)
 
 
 def ownership(values: DataFrame) -> DataFrame:
@@ -92,36 +89,39 @@ def find_secrets(
     owner = F.col("source") if owner is None else owner
     rows = docs.select(F.col(id_col).alias("id"), repo.cast("string").alias("repo"), owner.cast("string").alias("owner"), F.col(text_col).alias("text"))
     by_kind = base_spans(text)
-    rows = rows.select("id", "repo", "owner", "text", F.struct(*(by_kind[k].alias(k) for k in BASE)).alias("base"), candidate_spans(text).alias("loose"))
-    all_base = F.concat(*(F.col(f"base.{k}") for k in BASE))
+    rows = rows.select("id", "repo", "owner", F.struct(*(by_kind[k].alias(k) for k in BASE)).alias("base"), candidate_spans(text).alias("loose"))
 
     def hashed(s: Column) -> Column:
-        m = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        key = F.regexp_replace(m, r"\s|\\[nr]", "")
-        value = F.when(s["kind"] == "assign", F.regexp_extract(m, ASSIGN, 2)).when(s["kind"] == "pem", key).otherwise(m)
-        return F.struct(s.alias("span"), F.xxhash64(value).alias("hash"))
+        key = F.regexp_replace(s["match"], r"\s|\\[nr]", "")
+        value = F.when(s["kind"] == "assign", F.regexp_extract(s["match"], ASSIGN, 2)).when(s["kind"] == "pem", key).otherwise(s["match"])
+        return F.struct(F.struct(*(s[k].alias(k) for k in ("start", "rank", "end", "kind"))).alias("span"), F.xxhash64(value).alias("hash"))
 
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "repo", "owner", "base", F.transform(F.concat(all_base, "loose"), hashed).alias("all"))
+    found = F.transform(F.concat(*(F.col(f"base.{k}") for k in BASE), "loose"), hashed)
+    base = F.struct(*(bare(F.col(f"base.{k}")).alias(k) for k in BASE))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "repo", "owner", base.alias("base"), found.alias("all"))
     rows = materialize(rows, "secret-spans")  # row numbers are fixed from here on
     values = materialize(rows.select("row", "repo", "owner", F.explode("all").alias("x")).select("row", "repo", "owner", "x.*"), "secret-values")
     counts = materialize(ownership(values), "secret-owners")
     mine = values.select("row", "span", "hash").join(counts, "hash")
     is_live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
-    judged = mine.groupBy("row").agg(F.collect_list(F.when(is_live, F.col("span"))).alias("live_all"))
+    sort = F.when(~is_live, F.col("span"))
+    judged = mine.groupBy("row").agg(F.collect_list(F.when(is_live, F.col("span"))).alias("live_all"), F.collect_list(sort).alias("copied_all"))
     # most documents hold no candidate and need no join
+    none = F.lit(None).cast(f"array<{SPAN}>")
     busy = rows.filter(F.size("all") > 0).join(judged, "row", "left")
-    rows = rows.filter(F.size("all") == 0).withColumn("live_all", F.lit(None).cast(f"array<{SPAN}>")).unionByName(busy)
-    live = F.coalesce("live_all", F.array().cast(f"array<{SPAN}>"))
+    rows = rows.filter(F.size("all") == 0).withColumns({"live_all": none, "copied_all": none}).unionByName(busy)
+    live, copied = (F.coalesce(c, F.array().cast(f"array<{SPAN}>")) for c in ("live_all", "copied_all"))
+    all_base = F.concat(*(F.col(f"base.{k}") for k in BASE))
 
     def apart(s: Column) -> Column:
-        inside = lambda b: (s["kind"] == "pem") & (s["start"] <= b["start"]) & (b["end"] <= s["end"])
-        return ~F.exists(all_base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]) & ~inside(b))
+        touched = [F.when(s["kind"] == "pem", crosses(F.col(f"base.{k}"), s["start"], s["end"])).otherwise(overlaps(F.col(f"base.{k}"), s["start"], s["end"])) for k in BASE]
+        return ~(touched[0] | touched[1] | touched[2])
 
     added = F.filter(live, lambda s: s["kind"].isin(*ADDED) & apart(s))
-    live_base = F.filter(live, lambda s: s["kind"].isin(*BASE))
+    of_base = lambda found: F.filter(found, lambda s: s["kind"].isin(*BASE))
     return rows.select(
         F.col("id").alias(id_col), "base", F.array_sort(F.concat(all_base, added)).alias("found"),
-        F.array_sort(F.concat(live_base, added)).alias("live"), F.array_sort(F.array_except(all_base, live_base)).alias("copied"),
+        F.array_sort(F.concat(of_base(live), added)).alias("live"), F.array_sort(of_base(copied)).alias("copied"),
     )
 
 

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from sedimenta.llm import pii
-from sedimenta.llm.spans import matches
+from sedimenta.llm.spans import SPAN, crosses, matches, overlaps, redact, within
 
 DOCS = "doc_id long, text string"
 PATTERNS = {
@@ -91,3 +93,53 @@ def test_many_matches(spark):
     text = "1.2.3.4 é " * 2000
     df = spark.createDataFrame([(text,)], "text string").select(matches(F.col("text"), pii.IP).alias("m"))
     assert [x.start for x in df.first().m] == [m.start() for m in re.finditer(PATTERNS["ip"], text)]
+
+
+def test_a_long_text_dense_in_spans(spark):
+    unit = "é x@y.zz 10.0.0.1 +1 (017) 555-7713 call (212) 555-0199, "
+    text = unit * 5000  # 20 000 spans in 285 000 code points
+    docs = spark.createDataFrame([(1, text)], DOCS)
+    began = time.time()
+    row = pii.digest(pii.find_pii(docs)).first()
+    assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [5000, 5000, 0, 5000]
+    counts, base = plain(text)
+    assert row.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    clean = pii.redact_pii(docs).first().text
+    want = text
+    for kind, a, b in reversed([s.split(":") for s in row.spans.split(",")]):
+        want = want[: int(a)] + f"<{kind.upper()}>" + want[int(b) :]
+    assert clean == want and "@" not in clean
+    assert time.time() - began < 60
+
+
+def test_overlaps_against_brute_force(spark):
+    rng = random.Random(2)
+    rows = []
+    for _ in range(60):
+        edges = sorted(rng.sample(range(200), 2 * rng.randrange(0, 12)))
+        found = [(a, 0, b, "k") for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        start = rng.randrange(0, 199)
+        rows.append((found, start, rng.randrange(start + 1, 201)))
+    df = spark.createDataFrame(rows, f"found array<{SPAN}>, a int, b int")
+    ask = [f(F.col("found"), F.col("a"), F.col("b")).alias(f.__name__) for f in (overlaps, crosses, within)]
+    for r in df.select("*", *ask).collect():
+        spans = [(s.start, s.end) for s in r.found]
+        assert r.overlaps == any(s < r.b and r.a < e for s, e in spans)
+        assert r.within == any(s <= r.a and r.b <= e for s, e in spans)
+        assert r.crosses == any(s < r.b and r.a < e and not (r.a <= s and e <= r.b) for s, e in spans)
+
+
+def test_redaction_of_overlapping_spans_against_brute_force(spark):
+    rng, rows = random.Random(4), []
+    for n in (0, 1, 5, 40, 400):
+        text = "".join(rng.choices("aé\U0001f600 \n", k=rng.choice([3000, 1024, 1025])))
+        found = [(a, 0, min(len(text), a + rng.randrange(1, 30)), "k") for a in rng.choices(range(len(text)), k=n)]
+        rows.append((text, found))
+    got = spark.createDataFrame(rows, f"text string, found array<{SPAN}>").select("text", "found", redact(F.col("text"), F.col("found")).alias("out")).collect()
+    for r in got:
+        at, out = 0, ""
+        for s in sorted(r.found):
+            if s.start >= at:
+                out += r.text[at : s.start] + "<K>"
+            at = max(at, s.end)
+        assert r.out == out + r.text[at:]

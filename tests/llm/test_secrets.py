@@ -65,3 +65,11 @@ def test_each_private_key_is_judged_by_its_own_body(spark):
     got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("pem")] for r in secrets.digest(secrets.find_secrets(spark.createDataFrame(rows, DOCS))).collect()}
     assert all(got[i] == [f"pem:2:{2 + len(t)}"] for i, t in enumerate(texts)), got
     assert all(got[100 + i] == [] for i in range(5))
+
+
+def test_a_long_text_dense_in_spans(spark):
+    text = "".join(f"é token=abcdefgh{i:08} Zx9Yw8Vu7Ts6Rq5Po4Nm{i:08} " for i in range(8000))
+    got = secrets.digest(secrets.find_secrets(spark.createDataFrame([(1, text, "s")], DOCS))).first()
+    counts, base = plain(text)
+    assert [got.n_assign, got.n_access, got.n_hex] == counts and counts[0] == 8000
+    assert got.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and got.spans.count("mixed:") == 8000
