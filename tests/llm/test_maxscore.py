@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from sedimenta.llm import maxscore
 
@@ -38,17 +39,25 @@ def test_large_components_few_rows_and_empty_table(spark):
     assert found(spark, rows) == plain(rows)
 
 
-def test_marks_spare_probes(monkeypatch):
+@pytest.mark.parametrize("zeros", [0.0, 0.9])
+def test_only_essential_postings_are_read(zeros):
     rng = np.random.default_rng(2)
     scale = np.repeat([40, 2], 8)
     x = (rng.normal(size=(4000, 16)) * scale).astype(np.int64)
-    best = maxscore._Best(np.arange(0, 40, 20), 5)
-    q = x[[0, 20]]
-    assert maxscore.search_shard(np.arange(2000), x[:2000], q, best) == 0
-    probed = maxscore.search_shard(np.arange(2000, 4000), x[2000:], q, best)
-    assert 0 < probed < 2000
-    for i, own in enumerate((0, 20)):
-        scores = x @ x[own]
-        scores[own] = -(10**9)
-        order = np.lexsort((np.arange(4000), -scores))[:5]
-        assert best.ids[i].tolist() == order.tolist()
+    x[rng.random(x.shape) < zeros] = 0
+    asked = np.arange(0, 4000, 20)
+    found, read, every = maxscore.search_block(np.arange(4000), x, asked, x[asked], 5)
+    assert 0 < read < 0.8 * every
+    for (ids, scores), own in zip(found, asked, strict=True):
+        want = x @ x[own]
+        want[own] = -(10**9)
+        order = np.lexsort((np.arange(4000), -want))[:5]
+        assert ids.tolist() == order.tolist() and scores.tolist() == want[order].tolist()
+
+
+def test_many_shards_and_blocks_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(maxscore, "SHARD", 40)
+    monkeypatch.setattr(maxscore, "BLOCK", 6)
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(400)] + [(7, [9.0] * 8)] * 150
+    assert found(spark, rows) == plain(rows)
