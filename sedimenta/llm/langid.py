@@ -25,8 +25,8 @@ from sedimenta.llm._shared import small_batches
 BUCKET_BITS, WIDTH = 14, 16
 #: Lengths of n-grams, edges included.
 GRAMS = (1, 2, 3, 4)
-#: Bounds of the training sample: languages (the most frequent), documents of each and of all.
-MAX_LANGUAGES, PER_LANGUAGE, MAX_SAMPLE = 200, 400, 2400
+#: Bounds of the training sample: different texts of each language and of all, and the least of each that all have room for.
+PER_LANGUAGE, MAX_SAMPLE, LEAST = 400, 2400, 8
 EPOCHS, RATE = 12, 0.5
 #: Part of the sample kept for calibration, and the accuracy that accepted predictions shall have there.
 CALIBRATION, ACCURACY = 0.25, 0.98
@@ -122,14 +122,18 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(sample: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
-    """Fit a model to (language, buckets, counts) rows and calibrate it on every fourth or so of them."""
-    languages = sorted({lang for lang, _, _ in sample})
+def train(sample: list[tuple[str, int, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
+    """Fit a model to (language, key, buckets, counts) rows and calibrate it on every fourth or so of the keys.
+
+    A text and its fragment have one key, its hash, so that no text that calibrates has trained.
+    """
+    languages = sorted({lang for lang, *_ in sample})
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.1, (1 << BUCKET_BITS, WIDTH))
     weights, bias = rng.normal(0, 0.1, (len(languages), WIDTH)), np.zeros(len(languages))
-    rows = [(languages.index(lang), at, n / n.sum()) for lang, at, n in sample if len(at)]
-    kept = rng.random(len(rows)) < CALIBRATION
+    place = {lang: k for k, lang in enumerate(languages)}
+    rows = [(place[lang], at, n / n.sum()) for lang, _, at, n in sample if len(at)]
+    kept = np.array([key % 2**32 < CALIBRATION * 2**32 for _, key, at, _ in sample if len(at)], bool)
     fit = [r for r, k in zip(rows, kept, strict=True) if not k] or rows
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
@@ -160,38 +164,42 @@ def train(sample: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mo
 
 
 def fit(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Train on a sample of the rows that learn selects and that have a language, drawn by the hash of their id.
+    """Train on a sample of the rows that learn selects and that have a language, drawn by the hash of their text.
 
-    At most MAX_LANGUAGES languages, about PER_LANGUAGE rows of each and MAX_SAMPLE of all; whole texts.
+    About PER_LANGUAGE different texts of every language, MAX_SAMPLE of all but LEAST of each, and twice that at
+    most; whole texts, however long. Equal texts of a language count once, null and letterless ones teach nothing,
+    and a table without a labelled row gives a model that answers und. Other columns don't matter.
     """
     small_batches(docs.sparkSession)
-    labelled = docs.filter(learn & F.col(lang_col).isNotNull())
-    counts = labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    each = min(PER_LANGUAGE, MAX_SAMPLE // max(1, len(counts)))
-    part = F.lit(None)
+    labelled = docs.filter(learn & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    labelled = labelled.filter("text IS NOT NULL").withColumn("key", F.xxhash64(F.lit("sample"), "text"))
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).orderBy("lang").collect()
+    each = min(PER_LANGUAGE, max(LEAST, MAX_SAMPLE // max(1, len(counts))))
+    part = F.lit(0)
     for r in counts:
-        part = F.when(F.col(lang_col) == r["lang"], F.lit(min(1.0, each / r["count"]))).otherwise(part)
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000)) < part * 1_000_000
-    rows = labelled.filter(drawn).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+        part = F.when(F.col("lang") == r["lang"], F.lit(int(1_000_000 * min(1.0, each / max(1, r["n"]))))).otherwise(part)
+    drawn = labelled.filter(F.pmod("key", F.lit(1_000_000)) < part).groupBy("lang", "key").agg(F.first("text").alias("text"))
+    rows = drawn.orderBy(F.xxhash64("key"), "lang").limit(2 * each * max(1, len(counts)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
             found = [features(t) for t in texts] + [features(fragment(t)) for t in texts]
             arrays = [pa.array([f[k].astype("<i4").tobytes() for f in found], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(b.column("lang").to_pylist() * 2, pa.string()), *arrays], names=["lang", "at", "n"])
+            names = [pa.array(b.column(c).to_pylist() * 2, t) for c, t in (("lang", pa.string()), ("key", pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*names, *arrays], names=["lang", "key", "at", "n"])
 
-    got = rows.mapInArrow(count, "lang string, at binary, n binary").collect()
-    rows = sorted((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in got)
-    return train([(lang, *(np.frombuffer(x, "<i4").astype(np.int64) for x in found)) for lang, *found in rows])
+    got = rows.mapInArrow(count, "lang string, key long, at binary, n binary").collect()
+    rows = sorted((r["lang"], r["key"], bytes(r["at"]), bytes(r["n"])) for r in got)
+    return train([(lang, key // 1_000_000, *(np.frombuffer(x, "<i4").astype(np.int64) for x in found)) for lang, key, *found in rows])
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """One row a document: id, the columns of keep, lang_pred, score (0 to 1) and accepted.
 
-    Whole texts are scored. lang_pred is und, with score 0 and not accepted, if the text is null or has no letter
-    or if no language was learned; else the likeliest learned language. Repeated rows are scored each; an empty
-    table gives no rows.
+    Whole texts are scored, very long ones in pieces. lang_pred is und, with score 0 and not accepted, if the text is null or has no letter
+    or if no language was learned; else the likeliest learned language, of equal ones the first. Repeated rows are
+    scored each; other columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     keep = keep or {}

@@ -3,7 +3,8 @@
 Filters of several widths slide over the words; each keeps its greatest response in the text (max pooling), and
 a linear layer scores the responses. All is trained by stochastic gradient descent in numpy on a bounded sample.
 The first dimension of the embeddings starts from how much more often a word occurs in toxic texts of one part
-of the sample; the other part trains and calibrates, so that chance words of the first are unlearned. A word is the sum
+of the sample; another part trains, so that chance words of the first are unlearned. Two halves change roles, which
+gives two sets of filters side by side; a third part, that neither has seen, calibrates. A word is the sum
 of the embeddings of several hashes, as one bucket alone is shared by chance in a long text. A filter is linear
 in the embeddings, so for scoring it becomes a table of responses by bucket and position.
 """
@@ -20,15 +21,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm._shared import small_batches
+from sedimenta.llm._shared import bounded, materialize, small_batches
 
-#: Hashes of a word, buckets of each (bucket 0 of all is the padding), dimensions, filter widths and filters of each.
-HASHES, BUCKETS, WIDTH, WIDTHS, FILTERS = 3, 1 << 16, 8, (1, 2, 3), 6
-#: Bounds of the training sample: documents of each label, and words of a document that may be in it.
-PER_LABEL, MAX_WORDS = 2500, 4000
+#: Hashes of a word, buckets of each (bucket 0 of all is the padding), dimensions, filter widths and filters of each in a half.
+HASHES, BUCKETS, WIDTH, WIDTHS, FILTERS = 3, 1 << 15, 8, (1, 2, 3), 6
+#: Bounds of the training sample: documents of each label, and words of one; of a longer text a run of so many.
+PER_LABEL, MAX_WORDS = 2500, 20_000
 EPOCHS, RATE, SEED = 6, 0.05, 7
-#: Parts of the sample that start the embeddings and that calibrate; the rest trains.
-START, CALIBRATE = 0.5, 0.2
+#: Part of the sample that calibrates; the halves of the rest start the embeddings and train.
+CALIBRATE = 0.2
 #: Part of the gap below the last value taken for toxic that still counts as toxic; below a half, doubt favours a text.
 MARGIN = 0.25
 #: Toxic calibration documents that a language needs for a threshold of its own.
@@ -90,12 +91,13 @@ class Model:
                 each += self.table[padded[:, h]]
         n, at, pooled, where = max(1, len(words)), 0, [], []
         for width, bias in zip(WIDTHS, self.biases, strict=True):
-            r = each[:n, at : at + FILTERS]
+            m = len(bias)
+            r = each[:n, at : at + m]
             for j in range(1, width):
-                r = r + each[j : j + n, at + j * FILTERS : at + (j + 1) * FILTERS]
-            at += width * FILTERS
+                r = r + each[j : j + n, at + j * m : at + (j + 1) * m]
+            at += width * m
             best = r.argmax(axis=0)
-            pooled.append(np.maximum(r[best, np.arange(FILTERS)] + bias, 0))
+            pooled.append(np.maximum(r[best, np.arange(m)] + bias, 0))
             where.append(best)
         return np.concatenate(pooled), np.concatenate(where)
 
@@ -131,13 +133,9 @@ def _threshold(z: np.ndarray, y: np.ndarray) -> float:
     return float(z[k] - MARGIN * (z[k] - z[k + 1])) if k + 1 < len(z) else float(z[k] - 1)
 
 
-def train(sample: list[tuple[int, str | None, np.ndarray]]) -> Model:
-    """Fit to (label, language, buckets) rows. Languages only set thresholds; no score depends on them."""
-    rng = np.random.default_rng(SEED)
-    rows = [words for _, _, words in sample]
-    labels = np.array([y for y, _, _ in sample], np.int64)
-    part = rng.random(len(rows))
-    first, held = part < START, part >= 1 - CALIBRATE
+def _half(rows: list[np.ndarray], labels: np.ndarray, first: np.ndarray, fit: list[int], seed: int) -> Model:
+    """A network whose embeddings start from the rows of first and that is trained on those of fit."""
+    rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.02, (HASHES * BUCKETS + 1, WIDTH))
     embedding[:, 0] = _start([r for r, k in zip(rows, first, strict=True) if k], labels[first]) / (4 * HASHES)
     embedding[0] = 0
@@ -145,7 +143,6 @@ def train(sample: list[tuple[int, str | None, np.ndarray]]) -> Model:
     for f in filters:
         f[:, 0, :] = abs(f[:, 0, :]) + 0.5 / len(f)
     model = Model(embedding, filters, [np.zeros(FILTERS) for _ in WIDTHS], np.full(FILTERS * len(WIDTHS), 0.1), -1.0)
-    fit = [i for i in range(len(rows)) if not first[i] and not held[i] and len(rows[i])]
     weight = len(fit) / (2 * np.maximum(1, np.bincount(labels[fit], minlength=2))) if fit else np.ones(2)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
@@ -165,6 +162,32 @@ def train(sample: list[tuple[int, str | None, np.ndarray]]) -> Model:
                     np.add.at(model.embedding, seen, -np.repeat(step[:, None], HASHES, axis=1))
                 model.biases[k] -= rate * own
             model.embedding[0] = 0
+    return model
+
+
+def _beside(a: Model, b: Model) -> Model:
+    """One network with the filters of both, each over its own dimensions of the embedding; its score is their mean's."""
+    filters = []
+    for f, g in zip(a.filters, b.filters, strict=True):
+        none = np.zeros_like(f)
+        filters.append(np.concatenate((np.concatenate((f, none), axis=1), np.concatenate((none, g), axis=1)), axis=2))
+    biases = [np.concatenate(x) for x in zip(a.biases, b.biases, strict=True)]
+    out = np.concatenate([x[k * FILTERS : (k + 1) * FILTERS] / 2 for k in range(len(WIDTHS)) for x in (a.out, b.out)])
+    return Model(np.concatenate((a.embedding, b.embedding), axis=1), filters, biases, out, (a.bias + b.bias) / 2)
+
+
+def train(sample: list[tuple[int, str | None, np.ndarray]]) -> Model:
+    """Fit to (label, language, buckets) rows. Languages only set thresholds; no score depends on them.
+
+    The hash of its words says which part of the sample a text belongs to, so that copies belong to the same.
+    """
+    rows = [words for _, _, words in sample]
+    labels = np.array([y for y, _, _ in sample], np.int64)
+    part = np.array([xxhash.xxh64_intdigest(words.astype("<i4").tobytes(), SEED) / 2**64 for words in rows])
+    held = part >= 1 - CALIBRATE
+    halves = [part < (1 - CALIBRATE) / 2, (part >= (1 - CALIBRATE) / 2) & ~held] if len(rows) else [np.zeros(0, bool)] * 2
+    fits = [[i for i in np.flatnonzero(h) if len(rows[i])] for h in halves]
+    model = _beside(_half(rows, labels, halves[0], fits[1], SEED), _half(rows, labels, halves[1], fits[0], SEED + 1))
     model.fold()
     check = [i for i in range(len(rows)) if held[i]] or list(range(len(rows)))
     z = np.array([model.responses(rows[i])[0] @ model.out + model.bias for i in check])
@@ -181,8 +204,10 @@ def train(sample: list[tuple[int, str | None, np.ndarray]]) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> Model:
     """Train on a sample of the labelled rows that learn selects, drawn by the hash of their id.
 
-    About PER_LABEL documents of each label; of those the ones of at most MAX_WORDS words. Of several labels of
-    an id the greatest counts; null labels and ids without a document are left out.
+    About PER_LABEL ids of each label, their different texts, and 4 * PER_LABEL rows at most; of a text of over
+    MAX_WORDS words a run of so many, its place drawn by hash. Of several labels of an id the greatest counts; null
+    labels and ids without a document are left out, null and empty texts are texts without words. Without labels the
+    model scores all texts alike. Other columns don't matter.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -190,23 +215,31 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     counts = {r["y"]: r["count"] for r in known.filter("y IN (0, 1)").groupBy("y").count().collect()}
     part = F.when(F.col("y") == 1, min(1.0, PER_LABEL / counts.get(1, 1))).when(F.col("y") == 0, min(1.0, PER_LABEL / counts.get(0, 1)))
-    known = known.filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < part * 1_000_000)
+    known = materialize(known.filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < part * 1_000_000), "toxic-labels")
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(known), "id").select("y", "lang", "text")  # about twice PER_LABEL rows at most
+    rows = rows.join(bounded(known, known.count()), "id").withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.groupBy("y", "key").agg(F.min("lang").alias("lang"), F.first("text").alias("text"))
+    rows = rows.orderBy(F.xxhash64("key"), "y").limit(4 * PER_LABEL).select("y", "lang", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder()
         for b in batches:
-            words = [encoder(t.as_py()) for t in b.column("text")]
-            short = [k for k, w in enumerate(words) if len(w) <= MAX_WORDS]
-            arrays = [b.column(c).take(pa.array(short, pa.int64())) for c in ("y", "lang")]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([words[k].astype("<i4").tobytes() for k in short], pa.binary())], names=["y", "lang", "words"])
+            words = [window(encoder(t.as_py())) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("lang"), pa.array([w.astype("<i4").tobytes() for w in words], pa.binary())], names=["y", "lang", "words"])
 
     got = rows.mapInArrow(encode, "y int, lang string, words binary").collect()
     sample = sorted(((r["y"], r["lang"], np.frombuffer(r["words"], "<i4").reshape(-1, HASHES)) for r in got), key=lambda r: (xxhash.xxh64_intdigest(r[2].tobytes()), r[0], r[1] or ""))
     return train(sample)
 
 
+def window(words: np.ndarray) -> np.ndarray:
+    """The words, or of more than MAX_WORDS a run of so many at a place that their hash draws."""
+    if len(words) <= MAX_WORDS:
+        return words
+    start = xxhash.xxh64_intdigest(np.ascontiguousarray(words).tobytes()) % (len(words) - MAX_WORDS + 1)
+    return words[start : start + MAX_WORDS]
+
+
 def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: dict[str, Column] | None = None) -> DataFrame:
     """One row a document: id, the columns of keep, score (0 to 1), predicted (score >= 0.5) and rejected.
 
@@ -217,12 +250,13 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
     small_batches(docs.sparkSession)
     keep = keep or {}
     rows = docs.select(F.col(id_col), *(c.alias(k) for k, c in keep.items()), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__text"))
-    # scoring needs the folded table alone
-    shared = docs.sparkSession.sparkContext.broadcast(replace(model, embedding=model.embedding[:1]))
+    # scoring needs the folded table alone, which travels in half the bytes
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, embedding=model.embedding[:1], table=model.table.astype(np.float16)))
     names = rows.columns[:-2]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, m = Encoder(), shared.value
+        m.table = m.table.astype(np.float32, copy=False)
         for b in batches:
             s = np.array([m.score(encoder(t.as_py())) for t in b.column("__text")], float)
             cut = np.array([m.languages.get(x.as_py(), 0.5) for x in b.column("__lang")], float)
@@ -234,7 +268,11 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
 
 
 def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that the model does not reject, all columns as they are."""
+    """The rows of docs that the model does not reject, all columns as they are, whatever their names.
+
+    Null and empty texts are judged as texts without words, very long ones whole, repeated rows alike; an empty
+    table gives no rows.
+    """
     named = {f"c{k}": F.col(f"`{c}`") for k, c in enumerate(docs.columns)}
     place = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     rows = docs.select(F.lit(0).alias("one"), *(c.alias(k) for k, c in named.items()))

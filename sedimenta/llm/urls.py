@@ -19,7 +19,12 @@ from sedimenta.llm.spans import let
 # Verdict, host and path of each rule.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Host words of URLs that train the rejected model beside the rules' own.
-SEEDS = r"casino|bets?\b|pills|spam|ads?-|porn|viagra|loan|prize|win\b"
+SEEDS = (
+    r"casino|\bbets?\b|betting|poker|jackpot|lotter[iy]|roulette|slots?\b|pills|pharma|viagra|cialis|diet|weightloss|spam|\bads?-|adserv|banner|popup|tracker|"
+    r"clickbait|doubleclick|porn|xxx|\bsex|escort|nude|loan|payday|forex|bitcoin-|crypto-|prize|winner|\bwin\b|giveaway|free-?gift|cheap-|discount-|replica|warez|torrent|crack-|keygen"
+)
+#: Of the training URLs every so many-th by hash calibrates the cut and trains nothing.
+HELD = 4
 #: Symbols: 0 the edge of a URL, then those of the text; anything else is the last.
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789./-_?=&#:%+~,;@!*'()$|[]{}"
 BASE = 64
@@ -103,9 +108,10 @@ def judge_urls(
     """Every row of pages, its columns under "row", with host, path, rule, verdict, score and cut.
 
     score is the log-likelihood of the accepted model less that of the rejected, by character; without a rule, a
-    URL is allowed if its score is at least cut, which separates the training URLs with the least mean error of
-    both classes. Null or empty URLs are scored as empty strings; without training URLs of both classes the
-    score is 0 and all is allowed. An empty table gives no rows.
+    URL is allowed if its score is at least cut, which separates the classes with the least mean error on training
+    URLs that the models haven't seen, a part by hash. Null or empty URLs are scored as empty strings, very long
+    ones whole, repeated rows alike; without held URLs of both classes all is allowed. Columns of pages are nested,
+    so that no name clashes. An empty table gives no rows.
     """
     url = F.col(f"row.`{url_col}`")
     host, path = _host_path(url)
@@ -113,8 +119,8 @@ def judge_urls(
     judged = judged.withColumn("hit", _rule(F.col("host"), F.col("path"), rules))
     label = F.coalesce(F.col("hit.verdict"), F.when(F.rlike("host", F.lit(seeds)), F.lit("block")))
     train = judged.select(label.alias("label"), url.alias("url")).filter("label IS NOT NULL").groupBy("label", "url").agg(F.count(F.lit(1)).alias("n"))
-    train = materialize(train, "url-train")
-    grams = train.select("label", "n", F.explode(_trigrams(F.col("url"))).alias("code")).groupBy("label", "code").agg(F.sum("n").alias("n"))
+    train = materialize(train.withColumn("held", F.pmod(F.xxhash64("url"), F.lit(HELD)) == 0), "url-train")
+    grams = train.filter("NOT held").select("label", "n", F.explode(_trigrams(F.col("url"))).alias("code")).groupBy("label", "code").agg(F.sum("n").alias("n"))
     table = _model(grams).agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "ratio"))), lambda x: x["ratio"]).alias("model"))
     table = materialize(table, "url-model")
 
@@ -125,7 +131,7 @@ def judge_urls(
 
     # the model is one value of 64^3 doubles, a scalar of the query
     model, width = table.scalar().alias("model"), 0.05
-    bins = train.select("*", model).select("label", "n", F.floor(score(F.col("url")) / width).alias("bin"))
+    bins = train.filter("held").select("*", model).select("label", "n", F.floor(score(F.col("url")) / width).alias("bin"))
     bins = bins.withColumn("bin", F.greatest(F.least("bin", F.lit(BINS // 2)), F.lit(-BINS // 2))).groupBy("bin", "label").agg(F.sum("n").alias("n")).collect()
     cut = _best_cut([(r["bin"], r["label"], r["n"]) for r in bins]) * width
     verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("score") >= cut, F.lit("allow")).otherwise("block"))

@@ -22,16 +22,16 @@ def plain(text, item):
         for i in range(len(eq)):
             for j in range(i + 1, len(eq) + 1):
                 n = sum(eq[i:j])
-                if n >= min(d.MIN_WORDS, len(b)) and n >= d.SIMILARITY * (j - i) - 1e-9:
+                if n >= d.needed(len(b)) and n >= d.SIMILARITY * (j - i) - 1e-9:
                     best = max(best, n)
     return best
 
 
 def test_against_brute_force(spark):
-    items = [(i, " ".join(words(n))) for i, n in enumerate((5, 7, 12, 30, 40, 4))] + [(6, None), (7, ""), (8, "same " * 20)]
+    items = [(i, " ".join(words(n))) for i, n in enumerate((5, 7, 12, 30, 40, 4, 1))] + [(9, None), (7, ""), (8, "same " * 20)]
     docs = []
     for i in range(60):
-        _, text = items[rng.choice((0, 1, 2, 3, 4))]
+        _, text = items[rng.choice((0, 1, 2, 3, 4, 5))]
         part = text.split()
         if len(part) > 12:
             for _ in range(i % 8):
@@ -43,7 +43,7 @@ def test_against_brute_force(spark):
     found = {(r.doc_id, r.item_id): r for r in got}
     for doc, text in docs:
         for item, other in items:
-            want = plain(text, other) if other and len(d.tokens(other)) >= d.LEAST_ITEM and doc != 104 else 0
+            want = plain(text, other) if other and doc != 104 else 0
             if (doc, item) == (104, 8):
                 continue
             assert ((doc, item) in found) == bool(want), (doc, item, want)
@@ -57,3 +57,32 @@ def test_blocks_and_empty_tables(spark):
     got = d.contaminated(docs.selectExpr("*", "1 AS id", "2 AS item"), items, block_words=20)
     assert sorted((r.doc_id, r.item_id, r.start, r.equal) for r in got.collect()) == [(i, i, 1, 15) for i in range(6)]
     assert d.contaminated(docs, items.limit(0)).count() == d.contaminated(docs.limit(0), items).count() == 0
+
+
+def changed(part, errors):
+    part = list(part)
+    for at in rng.sample(range(len(part)), errors):
+        part[at] = "other"
+    return part
+
+
+def test_exact_mode_misses_nothing_and_spaced_seeds_little():
+    missed, asked = {}, {}
+    for n in (1, 2, 4, 5, 6, 8, 10, 12, 13, 16, 20, 30, 60):
+        for errors in {0, n // 10, n - max(d.needed(n), -(-4 * n // 5))}:
+            for _ in range(40):
+                item = words(n)
+                text = " ".join(words(9) + changed(item, errors) + words(9))
+                if not plain(text, " ".join(item)):
+                    continue
+                assert d.Index([(1, " ".join(item))], exact=True).find(text), (n, errors)
+                key = "short" if n <= d.SHORT_ITEM else "long"
+                asked[key] = asked.get(key, 0) + 1
+                missed[key] = missed.get(key, 0) + (not d.Index([(1, " ".join(item))]).find(text))
+    assert missed["short"] == 0 and asked["short"] > 500 and missed["long"] <= 0.03 * asked["long"]
+
+
+def test_very_long_texts_that_repeat_words():
+    index = d.Index([(1, "same " * 300), (2, " ".join(words(30)))])
+    found = {i: n for i, _, n, _, _ in index.find("x " + "same " * 60_000)}
+    assert found == {1: 300}

@@ -24,6 +24,45 @@ def plain_grams(text):
     return out
 
 
+def plain_bucket(gram):
+    """Bucket of one n-gram by integer arithmetic."""
+    h = len(gram)
+    for c in gram:
+        h = (h * 0x100000001B3 + (0 if c == "\0" else ord(c))) % 2**64
+    return ((h ^ (h >> 31)) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - langid.BUCKET_BITS)
+
+
+def test_buckets_and_scores_against_plain_python():
+    text = "Été 12 ab-c, ß\U0001f600x"
+    assert sorted(np.concatenate(list(langid.buckets(text)))) == sorted(map(plain_bucket, plain_grams(text)))
+    sample = [(lang, k, *langid.features(t)) for k, (lang, t) in enumerate([("a", "the cat sat"), ("b", "le chat est"), ("c", "der hund")] * 4)]
+    model = langid.train(sample)
+    logits = np.mean([model.table[plain_bucket(g)].astype(float) for g in plain_grams(text)], axis=0) + model.bias
+    e = np.exp((logits - logits.max()) / model.temperature)
+    lang, score, _ = model.predict(text)
+    assert lang == model.languages[int(e.argmax())] and abs(score - e.max() / e.sum()) < 1e-5
+
+
+def test_a_text_and_its_fragment_never_part():
+    keys = [(2**32 // 7) * k for k in range(40)]
+    sample = [("en" if k % 2 else "fr", key, np.array([k, 50 + part]), np.array([1, 2])) for k, key in enumerate(keys) for part in (0, 1)]
+    seen = []
+    held = {key for key in keys if key % 2**32 < langid.CALIBRATION * 2**32}
+    original, langid.softmax = langid.softmax, lambda x: seen.append(x.shape) or original(x)
+    try:
+        langid.train(sample)
+    finally:
+        langid.softmax = original
+    assert 0 < len(held) < len(keys) and (2 * len(held), 2) in seen
+    assert sum(s == (2,) for s in seen) == 2 * (len(keys) - len(held)) * langid.EPOCHS
+
+
+def test_clashing_columns_are_ignored(spark):
+    docs = spark.createDataFrame([(1, "the cat", "en", 1, "x", 2), (2, "le chat", "fr", 1, "x", 2)], "doc_id long, text string, lang string, key int, at string, score int")
+    model = langid.fit(docs, F.lit(True))
+    assert langid.identify(docs, model).columns == ["doc_id", "lang_pred", "score", "accepted"] and langid.identify(docs, model).count() == 2
+
+
 def test_grams_are_those_of_single_words():
     text = "Été 12 ab-c, ß\U0001f600x"
     got = np.concatenate(list(langid.buckets(text)))

@@ -72,3 +72,24 @@ def test_query_on_held_out_rows(spark):
     assert all(zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id)
     toxic, clean = got[got.toxic == 1], got[got.toxic == 0]
     assert toxic.predicted.mean() > 0.8 and clean.predicted.mean() < 0.04
+
+
+def test_long_texts_teach_by_a_run_of_words_and_copies_share_a_part(monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_WORDS", 50)
+    words = toxicity.Encoder()(prose(500))
+    run = toxicity.window(words)
+    at = [i for i in range(451) if (words[i : i + 50] == run).all()]
+    assert len(run) == 50 and at and (toxicity.window(words) == run).all() and len(toxicity.window(words[:50])) == 50
+    plain = [(0, "en", toxicity.Encoder()(prose(30))) for _ in range(60)]
+    first = toxicity.train(plain + [(1, "en", toxicity.Encoder()(prose(30, 2))) for _ in range(60)])
+    assert first.score(words) < 0.5
+
+
+def test_repeated_ids_and_texts_stay_within_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PER_LABEL", 5)
+    docs = spark.createDataFrame([(1, f"vile text x{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}", "en") for i in range(3000)] + [(2, "good text", "en")] * 50, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda sample: seen.extend(sample))
+    toxicity.fit(docs, labels, F.lit(True))
+    assert len(seen) == 20 and len({w.tobytes() for _, _, w in seen}) == 20

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import functions as F
+
 from sedimenta.llm import urls
 
 PAGES = "page_id long, url string"
@@ -46,7 +50,42 @@ def test_model_follows_its_training_urls(spark):
     assert got[1000].rule is None and got[1000].score < got[1000].cut <= got[1001].score
 
 
-def test_probabilities_sum_to_one_and_empty_table(spark):
+def plain_chances(strings):
+    """P(third | first, second) of a string model by plain counting, as a function of the three symbols."""
+    tri, ctx2, bi, ctx1, uni, total = {}, {}, {}, {}, {}, 0
+    for t in strings:
+        codes = [0, 0, *(urls.SYMBOLS.find(c) + 1 or urls.BASE - 1 for c in t.lower()), 0]
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            for d, key in ((tri, (a, b, c)), (ctx2, (a, b)), (bi, (b, c)), (ctx1, b), (uni, c)):
+                d[key] = d.get(key, 0) + 1
+            total += 1
+
+    def chance(a, b, c):
+        p1 = (uni.get(c, 0) + 1) / (total + urls.BASE)
+        p2 = (bi.get((b, c), 0) + urls.BACKOFF * p1) / (ctx1.get(b, 0) + urls.BACKOFF)
+        return (tri.get((a, b, c), 0) + urls.BACKOFF * p2) / (ctx2.get((a, b), 0) + urls.BACKOFF)
+
+    return chance
+
+
+def test_scores_against_a_plain_model_whose_chances_sum_to_one(spark):
+    bad = [f"https://casino-win{i}.example.org/fr/{i}" for i in range(40)]
+    good = [f"https://m.site{i}.example.net/de/5{i}" for i in range(40)]
+    other = ["https://x.org/a", "", "ftp://\u00e9\U0001f600/%20", "no scheme"]
+    frame = spark.createDataFrame(list(enumerate([*bad, *good, *other])), PAGES)
+    held = {r.url for r in frame.filter(F.pmod(F.xxhash64("url"), F.lit(urls.HELD)) == 0).collect()}
+    allow, block = (plain_chances([u for u in part if u not in held]) for part in (good, bad))
+    for a, b in ((0, 0), (0, 8), (20, 20), (63, 1)):
+        assert abs(sum(allow(a, b, c) for c in range(urls.BASE)) - 1) < 1e-9
+    for r in urls.judge_urls(frame).collect():
+        codes = [0, 0, *(urls.SYMBOLS.find(c) + 1 or urls.BASE - 1 for c in r.row.url.lower()), 0]
+        steps = list(zip(codes, codes[1:], codes[2:]))
+        want = sum(math.log(allow(*t)) - math.log(block(*t)) for t in steps) / len(steps)
+        assert abs(r.score - want) < 1e-6, r.row.url
+        assert r.verdict == ("block" if r.row.url in bad else r.verdict if r.row.url in other else "allow")
+
+
+def test_empty_table_and_clashing_names(spark):
     assert urls.judge_urls(spark.createDataFrame([], PAGES)).count() == 0
     clash = spark.createDataFrame([(1, "http://h.example.net/de/1", "x", 1)], "page_id long, url string, host string, row int")
     assert urls.judge_urls(clash).first().row.host == "x"
