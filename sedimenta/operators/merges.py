@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.operators.evolution import auto_merge_enabled, schema_auto_merge
+from sedimenta.operators.evolution import PROTECTED, auto_merge_enabled, schema_auto_merge
 from sedimenta.operators.quality import RECENCY
 from sedimenta.sources.versioned import VersionedTable
 
@@ -24,7 +24,7 @@ UPDATE_CONDITION = f"{newer(RECENCY)} AND NOT (s.business_hash <=> t.business_ha
 def merge_silver(spark: SparkSession, updates: DataFrame, path: str | Path) -> int:
     """Upsert unique trips by trip_id; new columns are added to the table."""
     with schema_auto_merge(spark):
-        return VersionedTable(spark, path).merge(updates, ["trip_id"], update_condition=UPDATE_CONDITION, evolve=auto_merge_enabled(spark))
+        return VersionedTable(spark, path).merge(updates, ["trip_id"], update_condition=UPDATE_CONDITION, evolve=auto_merge_enabled(spark), protected=PROTECTED)
 
 
 def merge_rejected(spark: SparkSession, rejected: DataFrame, path: str | Path) -> int:

@@ -62,13 +62,30 @@ def with_reasons(df: DataFrame) -> DataFrame:
     return df.withColumn("rejection_reasons", F.array_compact(codes))
 
 
-def validate_and_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected): valid rows with their business hash and without helpers, rejected ones with reasons and raw dates."""
+def judge(df: DataFrame) -> DataFrame:
+    """with_reasons of a frame that has all the columns that the rules ask for, else an error."""
     validate_contract(df)
-    judged = with_reasons(df)
-    clean = F.size("rejection_reasons") == 0
-    valid = judged.filter(clean).drop("rejection_reasons", *RAW_DATES)
-    return add_business_hash(valid), judged.filter(~clean)
+    return with_reasons(df)
+
+
+def is_valid() -> Column:
+    return F.size("rejection_reasons") == 0
+
+
+def valid_rows(judged: DataFrame) -> DataFrame:
+    """Valid rows with their business hash and without helpers."""
+    return add_business_hash(judged.filter(is_valid()).drop("rejection_reasons", *RAW_DATES))
+
+
+def rejected_rows(judged: DataFrame) -> DataFrame:
+    """Rejected rows with reasons and raw dates."""
+    return judged.filter(~is_valid())
+
+
+def validate_and_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) rows."""
+    judged = judge(df)
+    return valid_rows(judged), rejected_rows(judged)
 
 
 def deduplicate(df: DataFrame, key: str = "trip_id", order: tuple[str, ...] = RECENCY) -> DataFrame:

@@ -64,7 +64,7 @@ def ingest_batch(spark: SparkSession, input_path: str | Path, table_path: str |
     table = VersionedTable(spark, table_path)
     rows = normalize_input(spark.read.parquet(str(input_path)))
     version = table.append(add_bronze_metadata(rows, str(input_path), batch_id), evolve=True)
-    metrics = next(r for r in table.history() if r["version"] == version)["operationMetrics"]
+    metrics = table.commit_row(version)["operationMetrics"]
     return int(metrics["numOutputRows"])
 
 

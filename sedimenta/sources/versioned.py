@@ -13,23 +13,27 @@ import shutil
 import time
 import uuid
 from collections.abc import Mapping
-from datetime import UTC, datetime
+from datetime import UTC, date, datetime
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sedimenta.operators.clustering import cluster
 from sedimenta.operators.evolution import check_evolution, union_schema
-from sedimenta.plans.skipping import Range, overlaps
+from sedimenta.plans.skipping import Range, overlaps, ranges_of
 from sedimenta.sources import commitlog
 from sedimenta.sources.commitlog import Action, CommitConflict, Snapshot
 from sedimenta.sources.statistics import folder_statistics
 
 #: Size that compaction packs files to, and tries of an append that loses a race.
 TARGET_BYTES, RETRIES = 1 << 30, 20
+#: Rows of a merge's source, counted, up to which it is sent to every executor instead of shuffling the table.
+BROADCAST_ROWS = 100_000
+#: Session setting and value under which files carry bounds of timestamps.
+TIMESTAMPS = ("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
 PROTOCOL = {"minReaderVersion": 1, "minWriterVersion": 2}
 
 
@@ -64,6 +68,11 @@ class VersionedTable:
         files = [p for p, a in state.files.items() if all(overlaps(a.get("stats"), c, r) for c, r in (skip or {}).items())]
         return self._scan(files, _schema(state))
 
+    def where(self, condition: str | Column, version: int | None = None) -> DataFrame:
+        """The rows of a snapshot that a condition holds for, read from the files whose bounds admit it."""
+        version = self.version() if version is None else version
+        return self.read(version, skip=ranges_of(self.read(version).filter(condition))).filter(condition)
+
     def read_files(self, paths: list[str], version: int | None = None) -> DataFrame:
         """Exactly the named data files, with the schema of a version."""
         return self._scan(paths, self.schema(version))
@@ -80,9 +89,9 @@ class VersionedTable:
         if limit is not None and limit < 1:
             raise ValueError("limit must be >= 1")
         versions = commitlog.commit_versions(self.path)[::-1][:limit]
-        return [self._commit_row(v) for v in versions]
+        return [self.commit_row(v) for v in versions]
 
-    def _commit_row(self, version: int) -> dict[str, Any]:
+    def commit_row(self, version: int) -> dict[str, Any]:
         info = next((a["commitInfo"] for a in commitlog.read_commit(self.path, version) if "commitInfo" in a), {})
         when = info.get("timestamp")
         return {
@@ -153,7 +162,13 @@ class VersionedTable:
     def _write(self, df: DataFrame, data_change: bool = True) -> tuple[list[Action], dict[str, str]]:
         """Data files of df in a fresh folder, as add actions with statistics, and the metrics of the write."""
         folder = self.path / "data" / uuid.uuid4().hex
-        df.write.parquet(str(folder))
+        conf, (name, kind) = self.spark.conf, TIMESTAMPS
+        former = conf.get(name)
+        conf.set(name, kind)
+        try:
+            df.write.parquet(str(folder))
+        finally:
+            conf.set(name, former)
         found = folder_statistics(folder)
         adds = [commitlog.add_action(str(f.relative_to(self.path)), n, s, data_change) for f, n, s in found]
         rows, size = sum(s["numRecords"] for _, _, s in found), sum(n for _, n, _ in found)
@@ -188,19 +203,21 @@ class VersionedTable:
         update: bool = True,
         evolve: bool = False,
         operation: str = "MERGE",
+        protected: tuple[str, ...] = (),
     ) -> int:
         """Upsert by copy-on-write: update matched rows where the condition on s and t holds, insert the others.
 
         Source columns replace the target's; columns that source lacks keep their value in updates and are null
         in inserts. Several source rows for a matched target row are an error. Only files in which a row
-        really changes are rewritten, and only files whose key bounds meet the source's are searched; inserts
-        go to files of their own. A merge that changes nothing still commits, with zero metrics.
+        really changes are rewritten, and only files whose key bounds meet the source's are searched, once; inserts
+        go to files of their own. A merge that changes nothing still commits, with zero metrics. The source may lack
+        neither a key nor a protected column.
         """
         if not self.exists():
             return self.create(source)
         state = self.snapshot()
         schema = _schema(state)
-        new = check_evolution(source, self.spark.createDataFrame([], schema), tuple(on))
+        new = check_evolution(source, self.spark.createDataFrame([], schema), (*on, *protected))
         if new and not evolve:
             raise ValueError(f"Columns not in the table: {', '.join(new)}")
         merged = union_schema(schema, source.schema)
@@ -213,29 +230,37 @@ class VersionedTable:
     def _merge(self, state: Snapshot, source: DataFrame, on: list[str], condition: str | None, update: bool, merged: StructType, operation: str) -> int:
         bounds = source.agg(F.count(F.lit(1)).alias("n"), *(f(F.col(k)).alias(f"{n}_{k}") for k in on for n, f in (("low", F.min), ("high", F.max)))).first()
         candidates = [p for p, a in state.files.items() if all(_may_match(a.get("stats"), k, bounds[f"low_{k}"], bounds[f"high_{k}"]) for k in on)]
-        target = self._scan(candidates, merged).alias("t")
+        if bounds["n"] <= BROADCAST_ROWS:
+            source = F.broadcast(source)
         matched = F.expr(" AND ".join(f"s.`{k}` = t.`{k}`" for k in on))
-        repeated = source.groupBy(*on).count().filter("count > 1").alias("s")
-        if candidates and not repeated.join(target, matched, "left_semi").isEmpty():
-            raise ValueError(f"Several source rows match one target row on {', '.join(on)}")
+        # source columns the table is about to gain can't be in the target's files: the merged schema reads them as null
+        target = self._scan(candidates, merged).withColumn("__file", F.col("_metadata.file_path")) if candidates else None
+        fires = F.coalesce(F.expr(condition), F.lit(False)) if condition else F.lit(True)
 
         removes: list[Action] = []
         adds: list[Action] = []
         updated = copied = 0
-        if update and candidates:
-            fires = F.coalesce(F.expr(condition), F.lit(False)) if condition else F.lit(True)
-            # source columns the table is about to gain can't be in the target's files: the merged schema reads them as null
-            hit = target.withColumn("__file", F.col("_metadata.file_path")).alias("t").join(source.alias("s"), matched)
-            touched = hit.filter(fires).groupBy("__file").agg(F.count(F.lit(1)).alias("n")).collect()
-            if touched:
-                updated = sum(r["n"] for r in touched)
-                names = {Path(r["__file"]).name: r for r in touched}
-                files = [p for p in candidates if Path(p).name in names]
-                adds, metrics = self._write(self._rewritten(files, source, matched, fires, merged))
-                removes = [commitlog.remove_action(p) for p in files]
-                copied = int(metrics["numOutputRows"]) - updated
-        fresh = source.alias("s").join(target, matched, "left_anti") if candidates else source
-        inserts, metrics = self._write(fresh)
+        if target is not None:
+            # the one search: a row for each match, with its file and whether it fires; at most as many as the source has
+            fired = fires if update else F.lit(False)
+            hits = target.alias("t").join(source.alias("s"), matched).select(*(F.col(f"s.`{k}`").alias(k) for k in on), "__file", fired.alias("__fires")).persist()
+            try:
+                repeated = source.groupBy(*on).count().filter("count > 1")
+                if not repeated.join(hits, on, "left_semi").isEmpty():
+                    raise ValueError(f"Several source rows match one target row on {', '.join(on)}")
+                touched = hits.filter("__fires").groupBy("__file").agg(F.count(F.lit(1)).alias("n")).collect()
+                if touched:
+                    updated = sum(r["n"] for r in touched)
+                    names = {Path(r["__file"]).name for r in touched}
+                    files = [p for p in candidates if Path(p).name in names]
+                    adds, metrics = self._write(self._rewritten(files, source, matched, fires, merged))
+                    removes = [commitlog.remove_action(p) for p in files]
+                    copied = int(metrics["numOutputRows"]) - updated
+                inserts, metrics = self._write(source.join(hits.select(*on).distinct(), on, "left_anti"))
+            finally:
+                hits.unpersist()
+        else:
+            inserts, metrics = self._write(source)
         inserted = int(metrics["numOutputRows"])
         meta = [_metadata(merged)] if merged.names != _schema(state).names else []
         counts = {
@@ -309,9 +334,12 @@ class VersionedTable:
         return len(gone)
 
     def applied(self, app: str, number: int) -> bool:
-        """Whether a commit carries this application's transaction number or a later one."""
-        marks = (a["txn"] for _, actions in commitlog.commits(self.path) for a in actions if "txn" in a)
-        return any(m["appId"] == app and m["version"] >= number for m in marks)
+        """Whether a commit carries this application's transaction number or a later one; newest commits are asked first."""
+        for version in reversed(commitlog.commit_versions(self.path)):
+            marks = [a["txn"]["version"] for a in commitlog.read_commit(self.path, version) if a.get("txn", {}).get("appId") == app]
+            if marks:
+                return max(marks) >= number  # an application counts up
+        return False
 
 
 def _schema(state: Snapshot) -> StructType:
@@ -328,5 +356,5 @@ def _txn(txn: tuple[str, int] | None) -> list[Action]:
 
 def _may_match(stats: str | None, key: str, low: Any, high: Any) -> bool:
     """Whether a file's key bounds meet the source's; all files do if the source's bounds are unknown or of another kind."""
-    plain = isinstance(low, (int, float, str)) and isinstance(high, (int, float, str))
+    plain = all(isinstance(x, (int, float, str, date)) for x in (low, high))
     return overlaps(stats, key, (low, high)) if plain else True

@@ -2,13 +2,15 @@ from __future__ import annotations
 
 import json
 from concurrent.futures import ThreadPoolExecutor
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.operators.clustering import cluster
-from sedimenta.operators.evolution import FLAG, check_evolution, schema_auto_merge
+from sedimenta.operators.evolution import FLAG, PROTECTED, check_evolution, schema_auto_merge
 from sedimenta.plans import skipping
+from sedimenta.plans.skipping import ranges_of
 from sedimenta.sources import commitlog
 from sedimenta.sources.commitlog import CommitConflict
 from sedimenta.sources.versioned import VersionedTable
@@ -154,11 +156,13 @@ def test_log_of_another_writer(tmp_path):
 
 def test_evolution_guard_and_flag(spark):
     a, b = frame(spark, [], "trip_id string, v double, n int"), frame(spark, [], "trip_id string, v double")
-    assert check_evolution(a, b) == ["n"] and check_evolution(b, a) == []
+    assert check_evolution(a, b, ("trip_id",)) == ["n"] and check_evolution(b, a, ()) == []
     with pytest.raises(TypeError):
         check_evolution(frame(spark, [], "v string"), b)
-    with pytest.raises(ValueError):
-        check_evolution(frame(spark, [], "v double"), b)
+    with pytest.raises(ValueError, match="trip_id"):
+        check_evolution(frame(spark, [], "v double"), b, ("trip_id",))
+    with pytest.raises(ValueError, match="ingested_at, raw_record_hash, ingest_batch_id, business_hash"):
+        check_evolution(a, b)
     with pytest.raises(RuntimeError), schema_auto_merge(spark):
         assert spark.conf.get(FLAG) == "true"
         raise RuntimeError
@@ -169,3 +173,39 @@ def test_pushdown_reaches_the_scan(spark, tmp_path):
     t = table(spark, tmp_path / "t")
     plan = t.read().filter(F.col("v") > 3).select("k")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(v), GreaterThan(v,3.0)]" in plan and "z:" not in plan.split("ReadSchema")[1]
+
+
+def test_filters_choose_files(spark, tmp_path):
+    t = VersionedTable(spark, tmp_path / "t")
+    for day in range(1, 6):
+        rows = [(day * 100 + i, datetime(2025, 3, day, i), date(2025, 3, day), f"n{day}", float(day)) for i in range(10)]
+        t.append(spark.createDataFrame(rows, "k long, at timestamp, day date, name string, x double").coalesce(1))
+    files = lambda df: len({r.f for r in df.selectExpr("_metadata.file_path AS f").collect()})
+    for condition, rows, most in (
+        ("k = 305", 1, 1), ("k > 309 AND k < 410", 10, 2), ("302 >= k", 23, 3), ("at >= TIMESTAMP '2025-03-05 04:00:00'", 6, 1), ("at < TIMESTAMP '2025-03-02 00:00:00'", 10, 1),
+        ("day = DATE '2025-03-02'", 10, 1), ("name = 'n4' AND k % 2 = 0", 5, 1), ("x BETWEEN 2 AND 3", 20, 2), ("k = 305 OR k = 105", 2, 5), ("k + 1 = 306", 1, 5), ("k = 999", 0, 0), ("true", 50, 5),
+    ):
+        df = t.where(condition)
+        assert df.count() == rows, condition
+        asked = t.read(skip=ranges_of(t.read().filter(condition)))
+        assert files(asked) <= most, condition
+    assert t.where("k < 150", 0).count() == 10 and t.where("k > 150", 0).count() == 0
+
+
+def test_a_merge_searches_the_table_once(spark, tmp_path, monkeypatch):
+    t = VersionedTable(spark, tmp_path / "t")
+    t.create(spark.createDataFrame([(i, "a") for i in range(100)], "k long, v string").repartition(4))
+    scans, scan = [], VersionedTable._scan
+    monkeypatch.setattr(VersionedTable, "_scan", lambda self, files, schema: scans.append(len(files)) or scan(self, files, schema))
+    t.merge(spark.createDataFrame([(5, "b"), (500, "b")], "k long, v string"), ["k"])
+    assert scans == [4, 1] or scans[0] == 4 and len(scans) == 2  # the search, then the file to rewrite
+    assert t.read().filter("v = 'b'").count() == 2 and t.read().count() == 101
+
+
+def test_silver_needs_its_protected_columns(spark, tmp_path):
+    t = VersionedTable(spark, tmp_path / "t")
+    schema = ", ".join(f"{c} string" for c in PROTECTED)
+    t.create(spark.createDataFrame([tuple("abcde")], schema))
+    for c in PROTECTED:
+        with pytest.raises(ValueError, match=c):
+            t.merge(spark.createDataFrame([tuple("abcde")], schema).drop(c), ["trip_id"] if c != "trip_id" else ["ingested_at"], protected=PROTECTED)
