@@ -41,6 +41,8 @@ WORDS, TABLES, TABLE_CODE = 8, 48, ((31, 0b100101, 1),)
 SHINGLE, SIMILARITY = 5, 0.8
 #: Standard deviations of chance by which a fingerprint's bits may exceed what the similarity lets differ.
 CHANCE = 6
+#: Rarest shared shingles of a text by which a pair is told to have met before. Only speed depends on them.
+FIRST = 32
 #: About so many documents tell which shingles are frequent, and so many shingles are told. Only speed depends on them.
 SAMPLE, FREQUENT = 4000, 50_000
 
@@ -371,6 +373,21 @@ def _near(most: int) -> Column:
     return reduce(Column.__add__, (F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in _names(WORDS))) <= most
 
 
+def _can_reach(similarity: float) -> Column:
+    """Whether sets a, b whose first common shingle is this one, at a.pos and b.pos of their orders, can be so alike.
+
+    All their common shingles then lie from there on, and similarity asks for a share of both sizes.
+    """
+    common = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    return common * (1 + similarity) >= (F.col("a.n") + F.col("b.n")) * F.lit(similarity) - 1e-9
+
+
+def _first_met() -> Column:
+    """Whether a.h is the first shingle that a and b share, as far as the first ones of both tell; if they tell nothing, true."""
+    common = F.array_intersect("a.first", "b.first")
+    return (F.size(common) == 0) | (F.try_element_at(common, F.lit(1)) == F.col("a.h"))
+
+
 def similar_groups(
     docs: DataFrame, *, id_col: str, text_col: str = "text", shingle: int = 3, similarity: float = SIMILARITY, tables: int = TABLES, rest: bool = True
 ) -> DataFrame:
@@ -384,7 +401,8 @@ def similar_groups(
     2. The rest (rest=True), as anchors alone may miss some. Two texts so alike share one of their rarest shingles,
        a fifth of each text's and one more, in any order common to all. Any two that share one, that the first
        search left in different groups and whose fingerprints don't differ by more than similarity and CHANCE
-       standard deviations allow, are compared. A pair goes uncompared only if it is in one group already.
+       standard deviations allow, are compared: at the first shingle that they share, if enough shingles follow it
+       in both for that similarity. A pair goes uncompared only if it is in one group already.
 
     Neither search has a cap, and nothing depends on the number of documents. Equal shingle sets are one node
     throughout, so that groups of copies cost one text. Null texts and texts without words are alike. A text of
@@ -395,7 +413,7 @@ def similar_groups(
     fps = materialize(_described(docs, shingle, _frequent(docs, docs.count()), similarity), "similar-sets")
     members = materialize(fps.select("row", "s0", "s1"), "similar-rows")
     least = materialize(members.groupBy("s0", "s1").agg(F.min("row").alias("node")), "similar-least")
-    nodes = materialize(fps.filter("n > 0").join(least.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "rare", *names), "similar-nodes")
+    nodes = materialize(fps.filter("n > 0").join(least.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "rare", *names), "similar-nodes")
     discard(fps)
     prints = nodes.select("node", *names)
 
@@ -409,12 +427,16 @@ def similar_groups(
     links = _alike(materialize(close(pairs), "similar-pairs"), docs, similarity)
     if rest:
         roots = materialize(connected_components(links), "similar-roots")
-        rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("rare").alias("h"))
+        rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", F.posexplode("rare").alias("pos", "h"))
         rooted = rooted.repartition("h")
         mixed = rooted.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("last")).filter("least < last").select("h")
-        held = materialize(rooted.join(mixed, "h").join(prints, "node"), "similar-open")
+        shared = materialize(rooted.join(mixed, "h"), "similar-shared")
+        first = shared.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "h"))), 1, FIRST)["h"].alias("first"))
+        held = materialize(shared.join(first, "node").join(prints, "node"), "similar-open")
+        discard(shared)
         apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-        more = held.alias("a").join(held.alias("b"), apart & _near(most)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+        more = held.alias("a").join(held.alias("b"), apart & _can_reach(similarity) & _near(most) & _first_met())
+        more = more.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
         more = materialize(more.join(links, ["a", "b"], "left_anti"), "similar-rest")
         discard(held)
         links = links.unionByName(_alike(more, docs, similarity))
