@@ -7,6 +7,7 @@ same with numbered damage. Tables that a query writes live in a folder of the se
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
@@ -18,9 +19,11 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions.identity import add_business_hash, add_trip_id, trip_id
 from sedimenta.operators import diff, profile
+from sedimenta.operators.evolution import check_evolution
 from sedimenta.operators.gold import apply_gold_filters, build_gold
 from sedimenta.operators.quality import deduplicate, validate_and_split, with_reasons
-from sedimenta.plans import audit, bronze, skipping
+from sedimenta.plans import audit, benchmark, bronze, events, skipping
+from sedimenta.plans.gold import run_gold
 from sedimenta.sources import fixture
 from sedimenta.sources.versioned import VersionedTable
 from sedimenta.streaming.silver import run_silver
@@ -116,14 +119,15 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REASONS = f"""
+REASONS_OF = """
 SELECT *, list_filter([
-  CASE WHEN p IS NULL OR d IS NULL THEN 'invalid_datetime' END, CASE WHEN d < p THEN 'dropoff_before_pickup' END,
+  CASE WHEN trip_id IS NULL OR trim(trip_id) = '' THEN 'missing_trip_id' END, CASE WHEN p IS NULL OR d IS NULL THEN 'invalid_datetime' END, CASE WHEN d < p THEN 'dropoff_before_pickup' END,
   CASE WHEN PULocationID IS NULL OR PULocationID <= 0 OR DOLocationID IS NULL OR DOLocationID <= 0 THEN 'invalid_location' END,
   CASE WHEN fare_amount IS NULL OR isnan(fare_amount) OR fare_amount <= 0 THEN 'invalid_fare' END, CASE WHEN trip_distance IS NULL OR trip_distance < 0 THEN 'invalid_distance' END,
   CASE WHEN total_amount IS NULL OR total_amount <= 0 THEN 'invalid_total_amount' END, CASE WHEN passenger_count < 0 THEN 'invalid_passenger_count' END,
-  CASE WHEN record_source = 'generated_fixture' AND (pickup_latitude IS NULL OR dropoff_latitude IS NULL) THEN 'invalid_coordinates' END], lambda x: x IS NOT NULL) AS reasons
-FROM (SELECT *, try_strptime(tpep_pickup_datetime, '%Y-%m-%d %H:%M:%S') AS p, try_strptime(tpep_dropoff_datetime, '%Y-%m-%d %H:%M:%S') AS d FROM ({DIRTY}))"""
+  CASE WHEN record_source = 'generated_fixture' AND NOT coalesce(pickup_latitude BETWEEN 40 AND 41.5 AND dropoff_latitude BETWEEN 40 AND 41.5, false) THEN 'invalid_coordinates' END], lambda x: x IS NOT NULL) AS reasons
+FROM (SELECT *, try_strptime(tpep_pickup_datetime, '%Y-%m-%d %H:%M:%S') AS p, try_strptime(tpep_dropoff_datetime, '%Y-%m-%d %H:%M:%S') AS d FROM ({}))"""
+REASONS = REASONS_OF.format(f"SELECT *, event_id::VARCHAR AS trip_id FROM ({DIRTY})")
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +136,18 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dirty(spark, sf_dir).withColumns(lineage)
 
 
+def one_row(spark: SparkSession, values: dict) -> DataFrame:
+    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'double' if isinstance(v, float) else 'long'}" for k, v in values.items()))
+
+
+def raises(kind: type[Exception], action: Callable[[], object]) -> bool:
+    try:
+        action()
+    except kind:
+        return True
+    return False
+
+
 def rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in names})
 
@@ -176,9 +192,23 @@ def trip_id_sha256(spark, sf_dir):
     return trips(spark, sf_dir).select("event_id", trip_id().alias("trip_id"))
 
 
-@query()
+@query(f"""
+SELECT event_id, sha256('{{' || concat_ws(',', '"fare_amount":' || floor(fare_amount)::BIGINT, '"tip_amount":' || floor(tip_amount)::BIGINT, '"total_amount":' || floor(total_amount)::BIGINT,
+       '"extra":' || floor(extra)::BIGINT, '"passenger_count":' || passenger_count, '"payment_type":' || payment_type) || '}}') AS business_hash FROM ({TRIPS})""")
 def business_hash(spark, sf_dir):
-    return add_business_hash(trips(spark, sf_dir)).select("event_id", "business_hash")
+    """Of whole amounts, as the two engines don't write all fractions alike."""
+    whole = {c: F.floor(c) for c in ("fare_amount", "tip_amount", "total_amount", "extra")}
+    return add_business_hash(trips(spark, sf_dir).withColumns(whole)).select("event_id", "business_hash")
+
+
+@query("""
+SELECT o_orderkey::BIGINT AS VendorID, 'b7' AS ingest_batch_id, 'in' AS source_path, 'orders.parquet' AS file,
+       sha256('{"VendorID":' || o_orderkey || ',"PULocationID":' || o_custkey || ',"kept":"' || o_orderstatus || '","trip_id":"x","record_source":"official_tlc"}') AS raw_record_hash FROM orders""")
+def bronze_lineage(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    rows = bronze.normalize_input(o.select(F.col("o_orderkey").alias("VendorID"), F.col("o_custkey").alias("PULocationID"), F.col("o_orderstatus").alias("kept"), F.lit("x").alias("trip_id")))
+    file = F.element_at(F.split("source_file", "/"), -1).alias("file")
+    return bronze.add_bronze_metadata(rows, "in", "b7").select("VendorID", "ingest_batch_id", "source_path", file, "raw_record_hash")
 
 
 @query(f"SELECT event_id, PULocationID, DOLocationID, tpep_pickup_datetime, tpep_dropoff_datetime, fare_amount, pickup_latitude, dropoff_latitude FROM ({DIRTY})")
@@ -194,6 +224,23 @@ def quality_reasons(spark, sf_dir):
     return with_reasons(raw(spark, sf_dir)).select("event_id", F.array_join("rejection_reasons", ",").alias("reasons"))
 
 
+#: Blank keys, values that are no numbers, and coordinates outside the box or on its edge.
+EDGES = f"""
+SELECT * REPLACE (CASE WHEN event_id % 5 = 0 THEN 'NaN'::DOUBLE ELSE fare_amount END AS fare_amount, CASE WHEN event_id % 4 = 0 THEN 'NaN'::DOUBLE ELSE trip_distance END AS trip_distance,
+       CASE WHEN event_id % 6 = 0 THEN 'NaN'::DOUBLE ELSE total_amount END AS total_amount, CASE WHEN pickup_latitude IS NULL THEN NULL WHEN event_id % 9 = 0 THEN 41.6::DOUBLE WHEN event_id % 9 = 1 THEN 41.5::DOUBLE ELSE pickup_latitude END AS pickup_latitude),
+       CASE event_id % 3 WHEN 0 THEN '  ' WHEN 1 THEN event_id::VARCHAR END AS trip_id FROM ({DIRTY})"""
+
+
+@query(f"SELECT event_id, array_to_string(reasons, ',') AS reasons FROM ({REASONS_OF.format(EDGES)})")
+def quality_edges(spark, sf_dir):
+    n, nan = F.col("event_id"), F.lit(float("nan"))
+    key = F.when(n % 3 == 0, "  ").when(n % 3 == 1, n.cast("string"))
+    odd = {c: F.when(n % k == 0, nan).otherwise(F.col(c)) for c, k in (("fare_amount", 5), ("trip_distance", 4), ("total_amount", 6))}
+    latitude = F.when(F.col("pickup_latitude").isNull(), None).when(n % 9 == 0, 41.6).when(n % 9 == 1, 41.5).otherwise(F.col("pickup_latitude"))
+    rows = raw(spark, sf_dir).withColumns(odd | {"trip_id": key, "pickup_latitude": latitude})
+    return with_reasons(rows).select("event_id", F.array_join("rejection_reasons", ",").alias("reasons"))
+
+
 @query(f"SELECT event_id, p AS tpep_pickup_datetime, d AS tpep_dropoff_datetime, fare_amount FROM ({REASONS}) WHERE len(reasons) = 0")
 def valid_split(spark, sf_dir):
     valid = validate_and_split(raw(spark, sf_dir))[0]
@@ -224,11 +271,13 @@ def dedup_latest(spark, sf_dir):
 # ----------------------------------------------------------------- aggregations
 
 GOLD_IN = f"SELECT * FROM ({TRIPS}) WHERE fare_amount <= 500 AND trip_distance <= 100 AND date_diff('second', tpep_pickup_datetime, tpep_dropoff_datetime) / 60.0 <= 360 AND year(tpep_pickup_datetime) = {YEAR}"
-GOLD = f"""
+GOLD_OF = """
 SELECT PULocationID, hour(tpep_pickup_datetime)::INT AS pickup_hour, count(*)::BIGINT AS trip_count, round(avg(fare_amount), 4) AS avg_fare, sum((payment_type = 1)::BIGINT)::BIGINT AS card_trip_count,
        round(sum(tip_amount) FILTER (payment_type = 1) / nullif(sum(fare_amount) FILTER (payment_type = 1), 0) * 100, 4) AS tip_pct,
        round(avg(fare_amount + coalesce(extra, 0) + coalesce(tip_amount, 0)), 4) AS avg_driver_earnings, round(sum(fare_amount + coalesce(extra, 0) + coalesce(tip_amount, 0)), 2) AS total_driver_earnings
-FROM ({GOLD_IN}) GROUP BY 1, 2"""
+FROM ({}) GROUP BY 1, 2"""
+GOLD = GOLD_OF.format(GOLD_IN)
+PART = "event_id % 4 <> 0"
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,6 +305,40 @@ def topk_groups(spark, sf_dir):
     return profile.top_groups(build_gold(trips(spark, sf_dir), YEAR), 10, "trip_count").select("PULocationID", "pickup_hour", "trip_count")
 
 
+def gold_run(spark: SparkSession, sf_dir: str) -> tuple[dict, VersionedTable]:
+    """Summary and table of Gold from the first of two versions of Silver, whose trips are moved to the year of Gold."""
+    root = scratch(spark)
+    year = F.expr("INTERVAL 366 DAY")
+    rows = trips(spark, sf_dir).withColumns({c: F.col(c) + year for c in ("tpep_pickup_datetime", "tpep_dropoff_datetime")})
+    silver = VersionedTable(spark, root / "silver")
+    silver.create(rows.filter(PART))
+    silver.append(rows.filter(f"NOT {PART}"))
+    return run_gold(spark, silver.path, root / "gold", 0), VersionedTable(spark, root / "gold")
+
+
+@query(f"SELECT *, 0::BIGINT AS silver_version, true AS stamped, 1 AS files FROM ({GOLD_OF.format(f'{GOLD_IN} AND {PART}')})")
+def gold_of_version(spark, sf_dir):
+    _, t = gold_run(spark, sf_dir)
+    df = t.read().withColumns({"stamped": F.col("computed_at").isNotNull(), "files": F.lit(t.detail()["numFiles"])}).drop("computed_at")
+    return rounded(rounded(df, "avg_fare", "tip_pct", "avg_driver_earnings"), "total_driver_earnings", digits=2)
+
+
+@query(f"""
+SELECT 0::BIGINT AS silver_version, groups, rows_used, rows_total, rows_total - rows_used AS rows_filtered
+FROM (SELECT count(*)::BIGINT AS groups, sum(trip_count)::BIGINT AS rows_used FROM ({GOLD_OF.format(f'{GOLD_IN} AND {PART}')})), (SELECT count(*)::BIGINT AS rows_total FROM ({TRIPS}) WHERE {PART})""")
+def gold_summary(spark, sf_dir):
+    return one_row(spark, gold_run(spark, sf_dir)[0])
+
+
+@query(f"""
+SELECT 'Q1_single_zone' AS name, count(*)::BIGINT AS trips, round(avg(fare_amount), 4) AS avg_fare, round(avg(tip_amount), 4) AS avg_tip FROM ({TRIPS}) WHERE PULocationID = 7
+UNION ALL SELECT 'Q2_zone_range', count(*)::BIGINT, round(avg(fare_amount), 4), round(avg(tip_amount), 4) FROM ({TRIPS}) WHERE PULocationID BETWEEN 5 AND 40""")
+def zone_stats(spark, sf_dir):
+    rows, asked = trips(spark, sf_dir), benchmark.queries(7, 5, 40)
+    one, several = (asked[n][2](rows).withColumn("name", F.lit(n)) for n in ("Q1_single_zone", "Q2_zone_range"))
+    return rounded(one.unionByName(several), "avg_fare", "avg_tip")
+
+
 @query(f"SELECT tpep_dropoff_datetime = tpep_pickup_datetime AS is_zero, VendorID, count(*)::BIGINT AS trips, round(avg(trip_distance), 2) AS avg_trip_distance FROM ({TRIPS}) GROUP BY 1, 2")
 def profile_by_flag(spark, sf_dir):
     return profile.zero_duration_profile(trips(spark, sf_dir)).drop("avg_fare_amount")
@@ -271,8 +354,10 @@ def conditional_counts(spark, sf_dir):
     return row.select("total", F.col("fare_amount__max").alias("most"), *profile.thresholds())
 
 
-@query()
+@query("SELECT " + ", ".join(f"array_to_string([x::VARCHAR FOR x IN quantile_disc({c}, [0.5, 0.99, 0.999, 0.9999])], ',') AS {c}" for c in profile.COLUMNS)
+       + f" FROM (SELECT *, date_diff('second', tpep_pickup_datetime, tpep_dropoff_datetime) / 60.0::DOUBLE AS duration_min FROM ({TRIPS}))")
 def percentiles_approx(spark, sf_dir):
+    """On few rows the approximation is exact."""
     row = profile.profile_outliers(trips(spark, sf_dir))
     return row.select(*(F.array_join(F.transform(f"{c}__pct", lambda x: x.cast("string")), ",").alias(c) for c in profile.COLUMNS))
 
@@ -338,6 +423,11 @@ def changed_records(spark, sf_dir):
     return diff.changed_records(*before_after(spark, sf_dir), limit=None)
 
 
+@query(f"SELECT trip_id, b.fare_amount AS before_fare_amount, a.fare_amount AS after_fare_amount, b.tip_amount AS before_tip_amount, a.tip_amount AS after_tip_amount FROM ({KEYED.format(TRIPS)}) b JOIN ({AFTER}) a USING (trip_id) WHERE trip_id = '150'")
+def changed_record_of_key(spark, sf_dir):
+    return diff.changed_records(*before_after(spark, sf_dir), value="150", limit=None)
+
+
 @query(f"SELECT trip_id, fare_amount, tip_amount FROM ({AFTER}) WHERE event_id % 4 = 0")
 def inserted_records(spark, sf_dir):
     return diff.inserted_records(*before_after(spark, sf_dir), limit=None)
@@ -460,6 +550,51 @@ def skipping_same_result(spark, sf_dir):
     return t.read(skip={"o_custkey": (100, 120)}).filter(F.col("o_custkey").between(100, 120)).withColumn("pruned", F.lit(pruned))
 
 
+@query("SELECT min(o_orderkey)::BIGINT AS low, max(o_orderkey)::BIGINT AS high, count(*)::BIGINT AS n FROM orders GROUP BY o_orderkey % 2")
+def file_ranges(spark, sf_dir):
+    """Bounds and rows of two files, from statistics alone."""
+    t, rows = VersionedTable(spark, scratch(spark) / "orders"), table(spark, sf_dir, "orders").select(*ORDERS)
+    t.create(rows.filter("o_orderkey % 2 = 0").coalesce(1))
+    t.append(rows.filter("o_orderkey % 2 = 1").coalesce(1))
+    files = skipping.active_files(t.path, 1)
+    found = [(low, high, json.loads(files[path])["numRecords"]) for (low, high), path in skipping.ranges_by_file(t.path, 1, "o_orderkey")]
+    return spark.createDataFrame(found, "low long, high long, n long")
+
+
+@query("""
+SELECT 2::BIGINT AS files, 2::BIGINT AS appended, (SELECT avg(w) FROM (SELECT max(o_orderkey) - min(o_orderkey) AS w FROM orders GROUP BY o_orderkey % 2)) AS width, count(*)::BIGINT AS n FROM orders""")
+def table_detail(spark, sf_dir):
+    """Files and mean width of their bounds, rows of the commits' own counts."""
+    t, rows = VersionedTable(spark, scratch(spark) / "orders"), table(spark, sf_dir, "orders").select(*ORDERS)
+    t.create(rows.filter("o_orderkey % 2 = 0").coalesce(1))
+    t.append(rows.filter("o_orderkey % 2 = 1").coalesce(1))
+    history = t.history()
+    written = sum(int(h["operationMetrics"]["numOutputRows"]) for h in history)
+    return one_row(spark, {"files": t.detail()["numFiles"], "appended": len(history), "width": skipping.average_width(t.path, 1, "o_orderkey"), "n": written})
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, true AS dropped, true AS past_gone FROM orders WHERE o_orderkey % 3 = 0")
+def vacuum_keeps_latest(spark, sf_dir):
+    t = orders_table(spark, sf_dir)
+    t.overwrite(table(spark, sf_dir, "orders").select(*ORDERS).filter("o_orderkey % 3 = 0"))
+    dropped = t.vacuum(1) > 0
+    return t.read().withColumns({"dropped": F.lit(dropped), "past_gone": F.lit(raises(FileNotFoundError, lambda: t.restore(0)))})
+
+
+@query("SELECT unnest(['several_matches', 'unknown_column', 'other_type', 'protected_column', 'existing_table']) AS name, true AS refused")
+def write_guards(spark, sf_dir):
+    t, changes = orders_table(spark, sf_dir), order_changes(spark, sf_dir)
+    now = t.read()
+    tried = {
+        "several_matches": (ValueError, lambda: t.merge(changes.unionByName(changes), ["o_orderkey"])),
+        "unknown_column": (ValueError, lambda: t.append(changes.withColumn("more", F.lit(1)))),
+        "other_type": (TypeError, lambda: check_evolution(changes.withColumn("o_totalprice", F.lit("x")), now, ())),
+        "protected_column": (ValueError, lambda: check_evolution(changes.drop("o_custkey"), now, ("o_custkey",))),
+        "existing_table": (FileExistsError, lambda: t.create(changes)),
+    }
+    return spark.createDataFrame([(name, raises(*how)) for name, how in tried.items()], "name string, refused boolean")
+
+
 # -------------------------------------------------------------- streams and audit
 
 
@@ -505,6 +640,70 @@ def stream_batch_audit(spark, sf_dir):
     return streamed(spark, sf_dir, 1)["audit"].read().select("batch_id", "incoming", "valid", "rejected", "winners", "silver_operation")
 
 
+LATE = f"""
+SELECT event_id::VARCHAR AS trip_id, fare_amount, CASE WHEN event_id % 6 = 0 THEN tip_amount + 1 WHEN event_id % 5 <> 0 THEN tip_amount ELSE tip_amount - 1 END AS tip_amount,
+       CASE WHEN event_id % 6 = 0 THEN 'b2' WHEN event_id % 5 <> 0 THEN 'b1' ELSE 'b0' END AS ingest_batch_id FROM ({REASONS}) WHERE len(reasons) = 0 AND (event_id % 5 <> 0 OR event_id % 6 = 0 OR event_id % 7 = 0)"""
+
+
+@query(LATE)
+def stream_late_rows(spark, sf_dir):
+    """Rows older than what Silver has change nothing there; those of new keys are kept."""
+    tables = streamed(spark, sf_dir, 1)
+    older = {"tip_amount": F.col("tip_amount") - 1, "ingest_batch_id": F.lit("b0"), "ingested_at": F.timestamp_seconds(F.lit(1767139200))}
+    tables["bronze"].append(raw(spark, sf_dir).filter("event_id % 7 = 0").withColumns(older))
+    run_silver(spark, **{k: t.path for k, t in tables.items()}, checkpoint=tables["bronze"].path.parent / "checkpoint")
+    return tables["silver"].read().select(*SILVER_COLUMNS)
+
+
+@query(f"SELECT *, 0::BIGINT AS updated, 0::BIGINT AS inserted FROM ({STREAMED})")
+def stream_replay(spark, sf_dir):
+    """All of Bronze streamed again, without the checkpoint: no row changes."""
+    tables = streamed(spark, sf_dir, 1)
+    run_silver(spark, **{k: t.path for k, t in tables.items()}, checkpoint=tables["bronze"].path.parent / "second")
+    again = [h["operationMetrics"] for h in tables["silver"].history(2)]
+    total = {c: F.lit(sum(int(m[name]) for m in again)).cast("long") for c, name in (("updated", "numTargetRowsUpdated"), ("inserted", "numTargetRowsInserted"))}
+    return tables["silver"].read().select(*SILVER_COLUMNS).withColumns(total)
+
+
+@query(f"""
+SELECT bronze, silver, rejected, bronze - silver - rejected AS deduplicated, 0::BIGINT AS duplicate_keys FROM (SELECT
+  count(*) FILTER (event_id % 5 <> 0)::BIGINT + count(*) FILTER (event_id % 6 = 0)::BIGINT AS bronze, count(*) FILTER (len(reasons) = 0 AND (event_id % 5 <> 0 OR event_id % 6 = 0))::BIGINT AS silver,
+  count(*) FILTER (len(reasons) > 0 AND event_id % 5 <> 0)::BIGINT + count(*) FILTER (len(reasons) > 0 AND event_id % 6 = 0)::BIGINT AS rejected FROM ({REASONS}))""")
+def reconciliation(spark, sf_dir):
+    tables = streamed(spark, sf_dir, 1)
+    return one_row(spark, profile.reconcile(*(tables[k].read() for k in ("bronze", "silver", "rejected"))))
+
+
+@query(f"""
+SELECT 2::BIGINT AS batches, count(*)::BIGINT AS incoming, count(*) FILTER (len(reasons) = 0)::BIGINT AS valid, count(*) FILTER (len(reasons) > 0)::BIGINT AS rejected, count(*) FILTER (len(reasons) = 0)::BIGINT AS winners
+FROM (SELECT reasons FROM ({REASONS}) WHERE event_id % 5 <> 0 UNION ALL SELECT reasons FROM ({REASONS}) WHERE event_id % 6 = 0)""")
+def audit_totals(spark, sf_dir):
+    return profile.audit_totals(streamed(spark, sf_dir, 1)["audit"].read())
+
+
+@query(f"""
+SELECT 'schema' AS mode, true AS own_key, fare_amount + 2 AS fare_amount, tip_amount + 1 + 1 AS tip_amount, 1.5::DOUBLE AS surcharge_fee, tpep_pickup_datetime, 'cdc_demo' AS record_source FROM ({DIRTY}) WHERE event_id = 22
+UNION ALL SELECT 'insert', false, fare_amount, tip_amount + 1, NULL, strftime(tpep_pickup_datetime::TIMESTAMP + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S'), 'cdc_demo' FROM ({DIRTY}) WHERE event_id = 22""")
+def change_events(spark, sf_dir):
+    """Events made of the newer of two rows of a key."""
+    rows = raw(spark, sf_dir)
+    newer = rows.withColumns({"tip_amount": F.col("tip_amount") + 1, "ingested_at": F.timestamp_seconds(F.lit(1767312000))})
+    last = events.latest_of_key(rows.unionByName(newer), "22")
+    shown = [F.expr("trip_id = '22'").alias("own_key"), "fare_amount", "tip_amount", "surcharge_fee", "tpep_pickup_datetime", "record_source"]
+    schema, insert = (events.build_event(last, m, "22", "s1")[0].withColumn("mode", F.lit(m)) for m in ("schema", "insert"))
+    return schema.unionByName(insert, allowMissingColumns=True).select("mode", *shown)
+
+
+@query(f"SELECT 0::BIGINT AS version, 'WRITE' AS operation, tip_amount FROM ({TRIPS}) WHERE event_id = 5 UNION ALL SELECT 1, 'MERGE', 99.0::DOUBLE")
+def point_lookup(spark, sf_dir):
+    rows = trips(spark, sf_dir).select(F.col("event_id").cast("string").alias("trip_id"), "fare_amount", "tip_amount")
+    t = VersionedTable(spark, scratch(spark) / "trips")
+    t.create(rows)
+    t.merge(rows.filter("trip_id = '5'").withColumn("tip_amount", F.lit(99.0)), ["trip_id"])
+    found = audit.point_lookup(spark, t.path, "5", [0, 1])
+    return spark.createDataFrame([(v, at["operation"], r["tip_amount"]) for v, at in found.items() for r in at["rows"]], "version long, operation string, tip_amount double")
+
+
 @query("SELECT unnest(['history_available', 'historical_version_readable', 'update_evidence', 'insert_evidence', 'schema_column_present', 'schema_value_present', 'delta_log_evidence', 'protocol_evidence', 'non_destructive']) AS name, true AS holds")
 def audit_checks(spark, sf_dir):
     rows = trips(spark, sf_dir).select(F.col("event_id").cast("string").alias("trip_id"), "fare_amount", "tip_amount").withColumns({"ingest_batch_id": F.lit("b0"), "record_source": F.lit("official_tlc")})
