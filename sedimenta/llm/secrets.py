@@ -79,13 +79,13 @@ def find_secrets(
 ) -> DataFrame:
     """One row a document: id, base (spans by kind), found (sorted spans, base and added), live and copied.
 
-    repo and owner are columns of docs; by default a document is a repository of its own and its source the
-    owner. live holds the base and added spans whose value (of a private key, its whole text without line ends) at most max_owners owners and max_repos repositories
+    repo and owner are columns of docs; by default each different text is a repository, so that copies of a document
+    don't count, and its source the owner. live holds the base and added spans whose value (of a private key, its whole text without line ends) at most max_owners owners and max_repos repositories
     hold, copied the other base spans. A candidate is added if it is live and touches no base span; a key may hold some. Null text
     counts as empty; repeated rows are kept and count as one repository; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    repo = F.col(id_col) if repo is None else repo
+    repo = F.xxhash64(text_col) if repo is None else repo
     owner = F.col("source") if owner is None else owner
     rows = docs.select(F.col(id_col).alias("id"), repo.cast("string").alias("repo"), owner.cast("string").alias("owner"), F.col(text_col).alias("text"))
     by_kind = base_spans(text)

@@ -47,6 +47,13 @@ def test_ownership_tells_examples_from_live_values(spark):
     assert got[101].spans == "bearer:0:27"
 
 
+def test_copies_of_a_document_are_one_repository(spark):
+    own, spread = "Zx9Yw8Vu7Ts6Rq5Po4Nm3Lk2", "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8"
+    rows = [(i, f"a {own}", "s1") for i in range(9)] + [(20 + i, f"a {spread} {i}", "s1") for i in range(9)]
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.find_secrets(spark.createDataFrame(rows, DOCS))).collect()}
+    assert {got[i] for i in range(9)} == {"mixed:2:26"} and {got[20 + i] for i in range(9)} == {""}
+
+
 def test_empty_table_and_clashing_names(spark):
     docs = spark.createDataFrame([(1, "token=abcdefghijklmnop", "s", 1, 2, 3)], DOCS + ", row int, base int, hash int")
     assert secrets.digest(secrets.find_secrets(docs)).first().n_assign == 1
