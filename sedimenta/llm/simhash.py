@@ -214,10 +214,14 @@ def _at_anchors(fps: DataFrame, threshold: int) -> DataFrame:
 
 
 def near_links(fps: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) for every two distinct fingerprints at most threshold bits apart, once."""
+    """(a, b) for every two distinct fingerprints at most threshold bits apart, once.
+
+    Spark takes the visits to be as few as the fingerprints and would send them all through the driver, so the join is
+    told to shuffle.
+    """
     small_batches(fps.sparkSession)
     home = _at_anchors(fps, 0).withColumnRenamed("fp", "a")
-    visit = _at_anchors(fps, threshold).withColumnRenamed("fp", "b")
+    visit = _at_anchors(fps, threshold).withColumnRenamed("fp", "b").hint("merge")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
     return home.join(visit, (home.anchor == visit.anchor) & (F.col("a") < F.col("b")) & near).select("a", "b")
 

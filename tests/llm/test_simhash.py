@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from sedimenta.llm import simhash
 from sedimenta.llm.components import connected_components
@@ -245,3 +246,16 @@ def test_recall_of_the_anchors_and_of_both_searches(spark):
 def test_cut_of_the_fingerprints_leaves_room_for_chance():
     assert simhash.most_differing(1.0) == 0
     assert 512 * np.arccos(1.6 / 1.8) / np.pi + 40 < simhash.most_differing(0.8) < 140
+
+
+def test_visits_are_not_sent_through_the_driver(spark):
+    """They are about 150 times as many as the fingerprints, which Spark doesn't know."""
+    prints = spark.range(50).select(F.xxhash64("id").alias("fp"))
+    for limit in ("10m", "1g"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            links = simhash.near_links(prints, 2)
+            links.collect()
+            assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
