@@ -350,14 +350,14 @@ SELECT count(*)::BIGINT AS total, max(fare_amount) AS most, sum((fare_amount > 5
        sum((m > 360)::BIGINT)::BIGINT AS duration_gt_6h, sum((m > 1440)::BIGINT)::BIGINT AS duration_gt_24h, sum((year(tpep_pickup_datetime) <> 2025)::BIGINT)::BIGINT AS pickup_not_2025
 FROM (SELECT *, date_diff('second', tpep_pickup_datetime, tpep_dropoff_datetime) / 60.0 AS m FROM ({TRIPS}))""")
 def conditional_counts(spark, sf_dir):
-    row = profile.profile_outliers(trips(spark, sf_dir))
+    row = profile.profile_outliers(trips(spark, sf_dir), ())
     return row.select("total", F.col("fare_amount__max").alias("most"), *profile.thresholds())
 
 
 @query("SELECT " + ", ".join(f"array_to_string([x::VARCHAR FOR x IN quantile_disc({c}, [0.5, 0.99, 0.999, 0.9999])], ',') AS {c}" for c in profile.COLUMNS)
        + f" FROM (SELECT *, date_diff('second', tpep_pickup_datetime, tpep_dropoff_datetime) / 60.0::DOUBLE AS duration_min FROM ({TRIPS}))")
 def percentiles_approx(spark, sf_dir):
-    """On few rows the approximation is exact."""
+    """The approximation only brackets the values, which are exact."""
     row = profile.profile_outliers(trips(spark, sf_dir))
     return row.select(*(F.array_join(F.transform(f"{c}__pct", lambda x: x.cast("string")), ",").alias(c) for c in profile.COLUMNS))
 
