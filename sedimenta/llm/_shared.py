@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,13 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def give_back() -> None:
+    """Return memory that this process has freed to the system, where the C library can: glibc keeps it else, for as long as the driver runs."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as a long, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

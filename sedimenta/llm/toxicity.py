@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm._shared import bounded, materialize, small_batches
+from sedimenta.llm._shared import bounded, give_back, materialize, small_batches
 
 #: Hashes of a word, buckets of each (bucket 0 of all is the padding), dimensions, filter widths and filters of each in a half.
 HASHES, BUCKETS, WIDTH, WIDTHS, FILTERS = 3, 1 << 15, 8, (1, 2, 3), 6
@@ -37,6 +37,8 @@ LEAST_OWN = 8
 _TOKEN = re.compile(r"[^\W\d_]+")
 #: Words whose buckets a worker remembers.
 _MEMORY = 200_000
+#: Buckets whose responses are worked out at a time.
+_ROWS = 4096
 
 
 class Encoder:
@@ -78,7 +80,10 @@ class Model:
 
     def fold(self) -> None:
         """Turn the filters into one table: a bucket's row has its response at every position of every filter."""
-        self.table = (self.embedding @ self.weights()).astype(np.float32)
+        weights = self.weights()
+        self.table = np.empty((len(self.embedding), weights.shape[1]), np.float32)
+        for k in range(0, len(self.embedding), _ROWS):  # all at once would take twice the table besides
+            self.table[k : k + _ROWS] = self.embedding[k : k + _ROWS] @ weights
 
     def responses(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(greatest responses, where): over all windows, the text padded at its end by the widest filter less one."""
@@ -111,7 +116,7 @@ def _start(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """z-scores of the log odds that a bucket occurs in a toxic rather than another text; equal texts count once."""
     counts, totals, seen = np.zeros((2, HASHES * BUCKETS + 1)), np.zeros(2), set()
     for words, y in zip(rows, labels, strict=True):
-        key = (words.tobytes(), y)
+        key = (xxhash.xxh128_digest(words.tobytes()), y)
         if key not in seen:
             seen.add(key)
             counts[y, np.unique(words)] += 1
@@ -229,7 +234,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc
 
     got = rows.mapInArrow(encode, "y int, lang string, words binary").collect()
     sample = sorted(((r["y"], r["lang"], np.frombuffer(r["words"], "<i4").reshape(-1, HASHES)) for r in got), key=lambda r: (xxhash.xxh64_intdigest(r[2].tobytes()), r[0], r[1] or ""))
-    return train(sample)
+    model = train(sample)
+    del got, sample
+    give_back()
+    return model
 
 
 def window(words: np.ndarray) -> np.ndarray:
@@ -252,6 +260,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col), *(c.alias(k) for k, c in keep.items()), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__text"))
     # scoring needs the folded table alone, which travels in half the bytes
     shared = docs.sparkSession.sparkContext.broadcast(replace(model, embedding=model.embedding[:1], table=model.table.astype(np.float16)))
+    give_back()
     names = rows.columns[:-2]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

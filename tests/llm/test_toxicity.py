@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -93,3 +94,14 @@ def test_repeated_ids_and_texts_stay_within_the_sample(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "train", lambda sample: seen.extend(sample))
     toxicity.fit(docs, labels, F.lit(True))
     assert len(seen) == 20 and len({w.tobytes() for _, _, w in seen}) == 20
+
+
+def test_training_holds_little_more_than_the_model():
+    sample = [(i % 2, "en", toxicity.Encoder()(prose(30, i % 2))) for i in range(8)]
+    tracemalloc.start()
+    try:
+        model = toxicity.train(sample)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.6 * (model.table.nbytes + model.embedding.nbytes)
