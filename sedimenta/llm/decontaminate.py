@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ SHORT_ITEM = 12
 BLOCK_WORDS = 2_000_000
 #: Diagonals that hits are turned into at a time.
 _HITS = 1 << 20
+#: Greatest number of flags, and flags a seed, that tell which hashes a table cannot hold; only speed depends on them.
+_FLAGS, _SPARSE = 1 << 22, 32
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -83,33 +86,53 @@ class Index:
             h, o, p = (np.concatenate(x) for x in (hashes, owners, places))
             order = np.argsort(h, kind="stable")
             self.tables.append((h[order], o[order], p[order]))
+        self.flags: list[np.ndarray] | None = None
 
-    def hashes(self, codes: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, positions) of the windows whose seen words are all known."""
+    def products(self, codes: np.ndarray) -> list[np.ndarray]:
+        """What each word adds to a hash as the first, second ... word that a mask sees."""
+        plain = codes.astype(np.uint64) + np.uint64(1)
+        return [plain * p for p in self.powers[: max(map(len, self.masks), default=0)]]
+
+    def hashes(self, codes: np.ndarray, mask: tuple[int, ...], products: list[np.ndarray] | None = None, flags: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, positions) of the windows whose seen words are all known; with flags only of those that they let pass."""
         n = len(codes) - mask[-1]
         if n <= 0:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
-        known = np.ones(n, bool)
+        products = self.products(codes) if products is None else products
+        h = products[0][:n].copy()
+        for o, p in zip(mask[1:], products[1:], strict=False):
+            h += p[o : o + n]
+        h ^= h >> np.uint64(29)
+        at = np.arange(n) if flags is None else np.flatnonzero(flags[h.view(np.int64) & (len(flags) - 1)])
         for o in mask:
-            known &= codes[o : o + n] >= 0
-        at = np.flatnonzero(known)
-        h = np.zeros(len(at), np.uint64)
-        for o, p in zip(mask, self.powers, strict=False):
-            h += (codes[at + o].astype(np.uint64) + np.uint64(1)) * p
-        return h ^ (h >> np.uint64(29)), at
+            at = at[codes[at + o] >= 0]
+        return h[at], at
+
+    def flagged(self) -> list[np.ndarray]:
+        """For each table, whether it holds a hash that ends in these bits; made where it is used, so that it need not travel."""
+        if self.flags is None:
+            self.flags = []
+            for table, _, _ in self.tables:
+                flags = np.zeros(min(_FLAGS, 1 << max(16, (_SPARSE * len(table)).bit_length())), bool)
+                flags[table.view(np.int64) & (len(flags) - 1)] = True
+                self.flags.append(flags)
+        return self.flags
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
         """(item, first word in the text, words, equal words, similarity): the best segment of each item in a text."""
         words = tokens(text)
         get = self.vocabulary.get
-        codes = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        codes = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        products = self.products(codes)
         diagonals: set[tuple[int, int]] = set()
-        for mask, (table, owners, places) in zip(self.masks, self.tables, strict=True):
-            h, at = self.hashes(codes, mask)
+        for mask, (table, owners, places), flags in zip(self.masks, self.tables, self.flagged(), strict=True):
+            h, at = self.hashes(codes, mask, products, flags)
             if not len(h) or not len(table):
                 continue
             low, high = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
             hit = np.flatnonzero(high > low)
+            if not len(hit):
+                continue
             n = (high - low)[hit]
             cuts = np.searchsorted(np.cumsum(n), np.arange(_HITS, n.sum() + 1, _HITS))  # words that both repeat meet often
             for part in np.split(np.arange(len(hit)), cuts):

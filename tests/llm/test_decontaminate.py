@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from sedimenta.llm import decontaminate as d
 
 rng = random.Random(11)
@@ -86,3 +88,22 @@ def test_very_long_texts_that_repeat_words():
     index = d.Index([(1, "same " * 300), (2, " ".join(words(30)))])
     found = {i: n for i, _, n, _, _ in index.find("x " + "same " * 60_000)}
     assert found == {1: 300}
+
+
+def test_windows_that_no_item_has_are_not_searched_for(monkeypatch):
+    pool = words(300)
+    items = [(i, " ".join(rng.choices(pool, k=n))) for i, n in enumerate([40] * 30 + [3, 5, 8, 12])]
+    texts = [" ".join(rng.choices(pool, k=3000)) for _ in range(3)]
+    texts += [f"{texts[0]} {items[k][1]} new {texts[1]}" for k in (0, 7, 30, 33)] + ["", None, "new", *(t for _, t in items)]
+    for exact in (False, True):
+        index, plain = d.Index(items, exact), d.Index(items, exact)
+        plain.flags = [np.ones(1, bool) for _ in plain.tables]  # all pass
+        want = [plain.find(t) for t in texts]
+        searched, search = [], np.searchsorted
+        with monkeypatch.context() as m:
+            m.setattr(d.np, "searchsorted", lambda a, v, *x: (searched.append(np.size(v)), search(a, v, *x))[1])
+            for t in texts[:3]:
+                index.find(t)
+            # before, each of about 3000 windows of a text was searched for twice under each mask
+            assert sum(searched) < 0.5 * 2 * 3 * 3000 * len(index.masks)
+        assert [index.find(t) for t in texts] == want and any(want)
